@@ -25,7 +25,7 @@ def norm(x: str) -> str:
 
 
 def tokens(x: str) -> str:
-    return f"list_filter(regexp_split_to_array({x}, '{WS}+'), t -> t <> '')"
+    return f"list_filter(regexp_split_to_array({x}, '{WS}+'), lambda t: t <> '')"
 
 
 def tok13a(x: str) -> str:
