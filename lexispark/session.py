@@ -46,3 +46,17 @@ def checkpoint_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared checkpoint folder."""
     return f"{checkpoint_root(spark)}/lexispark-{name}-{uuid.uuid4().hex[:12]}"
+
+
+def spread(df):
+    """Give CPU-heavy per-row work (tokenising, metric kernels) every core.
+
+    Repartitions round-robin only when the input has fewer partitions than
+    the cluster's default parallelism (a small file read as one split);
+    at scale the scan already has thousands of splits and this is a no-op,
+    so no shuffle is added where it is not needed.
+    """
+    sc = df.sparkSession.sparkContext
+    target = sc.defaultParallelism
+    n = df._jdf.rdd().getNumPartitions()
+    return df.repartition(target) if n < target else df
