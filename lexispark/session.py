@@ -60,3 +60,33 @@ def spread(df):
     target = sc.defaultParallelism
     n = df._jdf.rdd().getNumPartitions()
     return df.repartition(target) if n < target else df
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``lexispark`` importable on executors (Arrow UDF workers).
+
+    Zips the package once per application and registers it with
+    ``addPyFile`` -- the programmatic form of ``--py-files``; Spark serves
+    the file from the driver to every executor.
+    """
+    import os
+    import zipfile
+
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    out = os.path.join(tempfile.mkdtemp(prefix="lexispark-pkg-"), "lexispark.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for d, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    p = os.path.join(d, f)
+                    z.write(p, os.path.relpath(p, root))
+    sc.addPyFile(out)
+    _SHIPPED.add(app)
