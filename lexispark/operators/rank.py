@@ -49,13 +49,14 @@ def candidate_trim(df: DataFrame, k: int = 5, sort_by: str = "volume",
 
 
 def sort_rank(df: DataFrame, order: Iterable, rank_col: str = "sort_rank") -> DataFrame:
-    """O1-O3 as a column: the 1-based position of each row in ``order``.
+    """O1-O3 as a column: the 0-based position of each row in a total ``order``.
 
-    Sorting is only observable through a rank or a limit; a global
-    ``row_number`` runs in one task, so use this on bounded inputs only
-    (reports). Jobs use ``orderBy`` before a write instead.
+    Uses the distributed positional index (range-partitioned sort plus
+    per-partition offsets), never a single-task global ``row_number``.
+    Jobs that only need sorted output use ``orderBy`` before a write.
     """
-    return df.withColumn(rank_col, F.row_number().over(Window.orderBy(*_order(order))).cast("long"))
+    from ..sources.io import positional_id
+    return positional_id(df, _order(order), rank_col)
 
 
 def sort_source_volume(df: DataFrame) -> DataFrame:

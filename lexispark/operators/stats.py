@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -54,19 +54,71 @@ def max_volume_dedup(long_df: DataFrame) -> DataFrame:
     return long_df.groupBy("role", "language", "term").agg(F.max("SV").alias("SV"))
 
 
+def exact_quantiles(df: DataFrame, group: Sequence[str], value: str,
+                    probs: Sequence[float], names: Sequence[str] | None = None) -> DataFrame:
+    """Exact linear-interpolation quantiles per group, without holding a
+    group in one task.
+
+    1. count each distinct (group, value) -- map-side combined;
+    2. sort those counts by range partitioning (a hot group spans many
+       balanced partitions), check-point, and take running sums inside each
+       partition plus per-(partition, group) offsets (one row per partition
+       and group);
+    3. the value at rank r is the row with ``cum - w < r <= cum``; ranks
+       ``floor/ceil(1 + p*(n-1))`` are interpolated as ``lo + f*(hi - lo)``.
+    """
+    from ..session import checkpoint_root
+    group = list(group)
+    names = list(names or [f"q{i}" for i in range(len(probs))])
+    vals = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_w"))
+    checkpoint_root(df.sparkSession)
+    s = vals.orderBy(*group, value).withColumn("_mid", F.monotonically_increasing_id()) \
+            .checkpoint(eager=True).withColumn("_pid", F.shiftright("_mid", 33))
+    inpart = Window.partitionBy("_pid", *group).orderBy("_mid") \
+                   .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    s = s.withColumn("_cin", F.sum("_w").over(inpart))
+    tot = s.groupBy("_pid", *group).agg(F.sum("_w").alias("_pt"))
+    before = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    off = tot.withColumn("_off", F.coalesce(F.sum("_pt").over(before), F.lit(0))) \
+             .select("_pid", *group, "_off", "_pt")
+    c = s.join(off, ["_pid", *group]).withColumn("_cum", F.col("_off") + F.col("_cin")) \
+         .withColumn("_prev", F.col("_cum") - F.col("_w")).select(*group, value, "_cum", "_prev")
+    n = off.groupBy(*group).agg(F.sum("_pt").alias("_n"))
+    pos = lambda p: F.lit(float(p)) * (F.col("_n") - 1).cast("double")
+    want = n.select(*group, F.explode(F.array(*[
+        F.struct(F.lit(i).alias("_i"), (F.floor(pos(p)) + 1).cast("long").alias("_rlo"),
+                 (F.ceil(pos(p)) + 1).cast("long").alias("_rhi"),
+                 (pos(p) - F.floor(pos(p))).alias("_f"))
+        for i, p in enumerate(probs)])).alias("_t")).select(*group, "_t.*")
+    lo = want.join(c, group).where((F.col("_prev") < F.col("_rlo")) & (F.col("_rlo") <= F.col("_cum"))) \
+             .select(*group, "_i", "_f", F.col(value).alias("_vlo"))
+    hi = want.join(c, group).where((F.col("_prev") < F.col("_rhi")) & (F.col("_rhi") <= F.col("_cum"))) \
+             .select(*group, "_i", F.col(value).alias("_vhi"))
+    q = lo.join(hi, [*group, "_i"]).withColumn(
+        "_q", F.col("_vlo") + F.col("_f") * (F.col("_vhi") - F.col("_vlo")))
+    return q.groupBy(*group).agg(*[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(nm)
+                                  for i, nm in enumerate(names)])
+
+
 def volume_summary(dedup: DataFrame, approx: bool = False) -> DataFrame:
     """A2: count, min, median, max per language (roles pooled)."""
-    med = (F.percentile_approx("SV", 0.5, 100000) if approx else F.percentile("SV", 0.5))
-    return dedup.groupBy("language").agg(
-        F.count("SV").alias("count"), F.min("SV").alias("min"), med.alias("median"),
-        F.max("SV").alias("max"))
+    if approx:
+        return dedup.groupBy("language").agg(
+            F.count("SV").alias("count"), F.min("SV").alias("min"),
+            F.percentile_approx("SV", 0.5, 100000).cast("double").alias("median"),
+            F.max("SV").alias("max"))
+    base = dedup.groupBy("language").agg(F.count("SV").alias("count"), F.min("SV").alias("min"),
+                                         F.max("SV").alias("max"))
+    med = exact_quantiles(dedup, ["language"], "SV", [0.5], ["median"])
+    return base.join(med, "language", "left").select("language", "count", "min", "median", "max")
 
 
 def violin_marks(dedup: DataFrame) -> DataFrame:
     """A11 marks: mean, median, min, max per language."""
-    return dedup.groupBy("language").agg(
-        F.avg("SV").alias("mean"), F.percentile("SV", 0.5).alias("median"),
-        F.min("SV").alias("min"), F.max("SV").alias("max"))
+    base = dedup.groupBy("language").agg(F.avg("SV").alias("mean"), F.min("SV").alias("min"),
+                                         F.max("SV").alias("max"))
+    med = exact_quantiles(dedup, ["language"], "SV", [0.5], ["median"])
+    return base.join(med, "language", "left").select("language", "mean", "median", "min", "max")
 
 
 def violin_density(dedup: DataFrame, points: int = KDE_POINTS) -> DataFrame:
@@ -97,13 +149,10 @@ def violin_density(dedup: DataFrame, points: int = KDE_POINTS) -> DataFrame:
 
 def box_stats(dedup: DataFrame) -> DataFrame:
     """q1, median, q3, and whiskers at the last datum within 1.5 IQR."""
-    q = dedup.groupBy("language").agg(
-        F.percentile("SV", [0.25, 0.5, 0.75]).alias("_q"))
-    q = q.select("language", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
-                 F.col("_q")[2].alias("q3"))
+    q = exact_quantiles(dedup, ["language"], "SV", [0.25, 0.5, 0.75], ["q1", "median", "q3"])
     q = q.withColumn("_lo", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))) \
          .withColumn("_hi", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
-    j = dedup.join(F.broadcast(q), "language")   # one row per language
+    j = dedup.join(q, "language")   # one row per language: AQE broadcasts it
     w = j.groupBy("language", "q1", "median", "q3").agg(
         F.min(F.when(F.col("SV") >= F.col("_lo"), F.col("SV"))).alias("_wl"),
         F.max(F.when(F.col("SV") <= F.col("_hi"), F.col("SV"))).alias("_wh"))
