@@ -192,3 +192,9 @@ def q_pandas_mode(spark, sf):
 
 
 __all__ = ["rank"]
+
+
+@register("distinct_sources", O.l1(K) + "select distinct source from l1_full")
+def q_distinct_sources(spark, sf):
+    """A3: the unique sources of the L1 result (map-side combined distinct)."""
+    return P.clean_full(fx.kw(spark, sf), CFG).select("source").distinct()
