@@ -63,13 +63,23 @@ def _le(h: Column, k: Column, th: Column, key: str) -> Column:
 
 def hash_cut_labels(df: DataFrame, key: str, seed: int,
                     cuts: Sequence[Callable[[Column], Column]], labels: Sequence[str],
-                    label_col: str = "split", prefix_hex: int = 4) -> DataFrame:
+                    label_col: str = "split", prefix_hex: int = 4,
+                    materialize: bool = True) -> DataFrame:
     """Label rows by position of ``hash(key)`` among distinct keys.
 
     ``labels[i]`` goes to keys at positions ``<= cuts[i](n)`` (first match
     wins); the last label (``labels[len(cuts)]``) to the rest; null keys
     get the last label.
+
+    The input feeds three branches (key histogram, cut bucket, rows). With
+    ``materialize`` it is check-pointed once to the shared checkpoint folder
+    so an expensive upstream plan (dedup + top-k shuffles) runs once, and
+    the lineage is cut for executor loss.
     """
+    if materialize:
+        from ..session import checkpoint_root
+        checkpoint_root(df.sparkSession)
+        df = df.checkpoint(eager=True)
     h = hash_key(seed, key)
     keys = df.select(key).where(F.col(key).isNotNull()).distinct().withColumn("_h", h)
     th = _thresholds(keys, key, cuts, prefix_hex)
@@ -82,19 +92,20 @@ def hash_cut_labels(df: DataFrame, key: str, seed: int,
 
 
 def group_split(df: DataFrame, key: str = "source", train_frac: float = 0.9, seed: int = 42,
-                label_col: str = "split", prefix_hex: int = 4) -> DataFrame:
+                label_col: str = "split", prefix_hex: int = 4, materialize: bool = True) -> DataFrame:
     """First ``int(n_keys * train_frac)`` keys in seeded hash order -> 'train'.
 
     Same size and disjointness as a seeded shuffle of unique keys; the
     members differ from numpy's RNG, which is not reproducible here.
     """
     cut = lambda n: F.floor(n * F.lit(float(train_frac)))
-    return hash_cut_labels(df, key, seed, [cut], ["train", "eval"], label_col, prefix_hex)
+    return hash_cut_labels(df, key, seed, [cut], ["train", "eval"], label_col, prefix_hex,
+                           materialize)
 
 
 def three_way_split(df: DataFrame, key: str = "ord", test_size: float = 0.10,
                     dev_size: float = 0.1111, seed: int = 42, label_col: str = "split",
-                    prefix_hex: int = 4) -> DataFrame:
+                    prefix_hex: int = 4, materialize: bool = True) -> DataFrame:
     """test = ceil(test_size*N) rows, dev = ceil(dev_size*(N-test)), rest train.
 
     Row-level (``key`` unique per row), so equal pairs may straddle splits.
@@ -103,7 +114,7 @@ def three_way_split(df: DataFrame, key: str = "ord", test_size: float = 0.10,
     n_upto_dev = lambda n: F.ceil(n * F.lit(float(test_size))) + \
         F.ceil((n - F.ceil(n * F.lit(float(test_size)))) * F.lit(float(dev_size)))
     return hash_cut_labels(df, key, seed, [n_test, n_upto_dev], ["test", "dev", "train"],
-                           label_col, prefix_hex)
+                           label_col, prefix_hex, materialize)
 
 
 def threshold_split(df: DataFrame, key: str = "source", train_frac: float = 0.9, seed: int = 42,
