@@ -25,7 +25,7 @@ from .graph import connected_components
 
 _SEED = 11
 #: Filters that a vector passes on average, and bucket mates that mere chance gives it.
-FILTERS, CHANCE = 40, 0.5
+FILTERS, CHANCE = 96, 0.5
 #: Vectors in a block of a large bucket.
 BLOCK = 512
 
@@ -183,9 +183,8 @@ def vector_links(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     vectors link with those of their own dimension only. Equal vectors of one label stand for each
     other: one of them is compared, and its copies count as links. Rows with a
     null id keep a null component and no links. An empty table gives an empty
-    result. A pair is found when some filter holds both: at 40 filters a
-    vector and cosine 0.98 that is all but about one in a million pairs, and
-    nearer pairs more surely; tests measure it against brute force.
+    result. A pair is found when some filter holds both; tests measure
+    this against brute force.
     """
     rows = df.select(F.col(id_col).alias("vec_id"), F.col(vec_col).alias("vec"), F.col(label_col).alias("label"))
     good = rows.where(usable("vec") & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
