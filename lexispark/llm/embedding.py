@@ -4,8 +4,8 @@ A filter is a direction on the sphere; a vector passes those whose inner
 product with it is at least ``t``. The directions are a product code: after a
 fixed random rotation the space is cut in two halves, each half has K random
 unit vectors, and each pair of them is one of K*K directions. A vector finds
-all its filters by list decoding: both halves' K products are sorted, and only
-pairs that can reach ``t`` are looked at. Vectors join on (label, filter);
+all its filters by list decoding: of both halves' K products only those that can reach
+``t`` with the other half's best are looked at. Vectors join on (label, filter);
 bucket mates are verified in double precision. (Becker, Ducas, Gama,
 Laarhoven, "New directions in nearest neighbor searching", 2016.)
 """
@@ -24,8 +24,8 @@ from .common import map_columns, stored
 from .graph import connected_components
 
 _SEED = 11
-#: Filters that a vector passes on average, and bucket mates that mere chance gives it.
-FILTERS, CHANCE = 96, 0.5
+#: Filters that a vector passes on average, in how many codes, and bucket mates that mere chance gives it in each.
+FILTERS, TABLES, CHANCE = 64, 16, 0.1
 #: Vectors in a block of a large bucket.
 BLOCK = 512
 
@@ -39,29 +39,35 @@ def cap_height(share: float, dim: int) -> float:
 
 
 class Filters:
-    """The product code of one dimension, the same wherever it is built."""
+    """The product codes of one dimension, the same wherever they are built.
+
+    How many filters of one code a vector passes varies much from place to
+    place on the sphere, and near vectors share that luck. So the filters come
+    from ``TABLES`` independent codes, each under its own rotation.
+    """
 
     def __init__(self, dim: int, per_half: int):
         rng = np.random.default_rng(_SEED)
-        self.rotation = np.linalg.qr(rng.normal(size=(dim, dim)))[0]
-        self.half, self.k = dim // 2, per_half
-        self.codes = []
-        for width in (self.half, dim - self.half):
-            c = rng.normal(size=(per_half, width))
-            self.codes.append(c / np.linalg.norm(c, axis=1, keepdims=True) / math.sqrt(2))
-        self.t = cap_height(min(0.4, FILTERS / per_half**2), dim)
+        self.half, self.k, self.tables = dim // 2, per_half, []
+        for _ in range(TABLES):
+            rotation = np.linalg.qr(rng.normal(size=(dim, dim)))[0]
+            codes = []
+            for width in (self.half, dim - self.half):
+                c = rng.normal(size=(per_half, width))
+                codes.append(c / np.linalg.norm(c, axis=1, keepdims=True) / math.sqrt(2))
+            self.tables.append((rotation[:, :self.half] @ codes[0].T, rotation[:, self.half:] @ codes[1].T))
+        self.t = cap_height(min(0.4, FILTERS / TABLES / per_half**2), dim)
 
     def decode(self, unit: np.ndarray) -> list[np.ndarray]:
         """For each unit vector the sorted numbers of all its filters."""
-        x = unit @ self.rotation
-        left, right = x[:, :self.half] @ self.codes[0].T, x[:, self.half:] @ self.codes[1].T
-        out = []
-        for a, b in zip(left, right, strict=True):
-            i = np.flatnonzero(a >= self.t - b.max())
-            j = np.flatnonzero(b >= self.t - a.max())
-            hit = np.argwhere(a[i][:, None] + b[j][None, :] >= self.t)
-            out.append(np.sort(i[hit[:, 0]] * np.int64(self.k) + j[hit[:, 1]]))
-        return out
+        out: list[list[np.ndarray]] = [[] for _ in unit]
+        for n, (one, two) in enumerate(self.tables):
+            for found, a, b in zip(out, unit @ one, unit @ two, strict=True):
+                i = np.flatnonzero(a >= self.t - b.max())
+                j = np.flatnonzero(b >= self.t - a.max())
+                hit = np.argwhere(a[i][:, None] + b[j][None, :] >= self.t)
+                found.append(np.sort(n * np.int64(self.k) ** 2 + i[hit[:, 0]] * np.int64(self.k) + j[hit[:, 1]]))
+        return [np.concatenate(f) for f in out]
 
 
 _CODES: dict[tuple[int, int], Filters] = {}
@@ -192,7 +198,7 @@ def vector_links(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     reps = stored(good.groupBy("label", "h", "vec").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
                   .withColumn("dim", F.size("vec")), "caps")
     most = reps.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    per_half = max(16, math.ceil(math.sqrt(FILTERS * most / CHANCE)))
+    per_half = max(16, math.ceil(math.sqrt(FILTERS / TABLES * most / CHANCE)))
 
     def decode(b: pa.RecordBatch) -> dict:
         dims = b.column("dim").to_numpy()
