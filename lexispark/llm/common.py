@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,7 +70,29 @@ def map_columns(df: DataFrame, keep: list[str], fn: Callable[[pa.RecordBatch], d
     return df.mapInArrow(run, schema)
 
 
-def matrix(column: pa.ListArray) -> np.ndarray:
+def matrix(column: pa.ListArray | pa.ChunkedArray) -> np.ndarray:
     """A list column without nulls, all lists of one length, as a matrix."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
     flat = column.flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(len(column), -1) if len(column) else np.empty((0, 0))
+
+
+def sorted_groups(batches: Iterator[pa.RecordBatch], heads: list[str]) -> Iterator[tuple[pa.Table, list[tuple[int, int]]]]:
+    """Of rows sorted by ``heads``: tables and the bounds of the whole groups in them; the last group waits for the next batch."""
+    held = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([b])
+        t = (pa.concat_tables([held, t]) if held is not None else t).combine_chunks()
+        change = np.zeros(t.num_rows - 1, bool)
+        for h in heads:
+            c = t[h].chunk(0)
+            change |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
+        starts = [0, *(np.flatnonzero(change) + 1).tolist()]
+        if len(starts) > 1:
+            yield t, list(zip(starts, starts[1:], strict=False))
+        held = t.slice(starts[-1])
+    if held is not None:
+        yield held.combine_chunks(), [(0, held.num_rows)]

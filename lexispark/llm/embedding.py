@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_columns, stored
+from .common import map_columns, matrix, sorted_groups, stored
 from .graph import connected_components
 
 _SEED = 11
@@ -79,7 +79,7 @@ def _filters(dim: int, per_half: int) -> Filters:
     return _CODES[dim, per_half]
 
 
-def _units(vectors: list[list[float]]) -> np.ndarray:
+def _units(vectors) -> np.ndarray:
     x = np.asarray(vectors, np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)  # no overflow in the norm
     return x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -107,7 +107,7 @@ class _Found:
         self.b.append(b)
         self.n.append(None)
 
-    def group(self, key: int, ids: list[int], copies: np.ndarray, block: np.ndarray, across: bool,
+    def group(self, key: int, ids: np.ndarray, copies: np.ndarray, block: np.ndarray, across: bool,
               keys: list[np.ndarray], x: np.ndarray) -> None:
         """All pairs of one block (or across two) that this filter is the first to bring together."""
         near = np.triu(x @ x.T >= self.least, 1)
@@ -149,30 +149,21 @@ class _Found:
 
 
 def _verify(least: float):
-    """Rows sorted by (label, dim, key, t1, t2): group after group, with one group in memory."""
+    """Rows sorted by (label, dim, key, t1, t2): one bucket or pair of blocks after the other."""
     heads = ["label", "dim", "key", "t1", "t2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, held = _Found(least), None
-
-        def flush(t: pa.Table) -> None:
-            ids, block = t["rep"].to_pylist(), t["block"].to_numpy()
-            found.group(t["key"][0].as_py(), ids, t["copies"].to_numpy(), block, t["t1"][0].as_py() != t["t2"][0].as_py(),
-                        [np.asarray(k, np.int64) for k in t["keys"].to_pylist()], _units(t["vec"].to_pylist()))
-
-        for b in batches:
-            t = pa.Table.from_batches([b])
-            t = pa.concat_tables([held, t]) if held is not None else t
-            marks = list(zip(*[t[h].to_pylist() for h in heads], strict=True))
-            starts = [0] + [i for i in range(1, len(marks)) if marks[i] != marks[i - 1]]
-            for lo, hi in zip(starts, starts[1:], strict=False):
+        found = _Found(least)
+        for t, bounds in sorted_groups(batches, heads):
+            key, t1, t2, ids, block, copies = (t[c].to_numpy() for c in ("key", "t1", "t2", "rep", "block", "copies"))
+            vec, lists = t["vec"].combine_chunks(), t["keys"].combine_chunks()
+            at, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+            for lo, hi in bounds:
                 if hi - lo > 1:
-                    flush(t.slice(lo, hi - lo))
-            held = t.slice(starts[-1]) if marks else None
+                    found.group(key[lo], ids[lo:hi], copies[lo:hi], block[lo:hi], t1[lo] != t2[lo],
+                                [flat[at[i]:at[i + 1]] for i in range(lo, hi)], _units(matrix(vec[lo:hi])))
             if (out := found.batch(5000)) is not None:
                 yield out
-        if held is not None and held.num_rows > 1:
-            flush(held)
         if (out := found.batch()) is not None:
             yield out
 
