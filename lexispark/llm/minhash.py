@@ -6,22 +6,24 @@
 2. Documents with one word sequence have one set; their smallest id stands
    for all of them from here on.
 3. Star round: each document is compared with the smallest id of its buckets.
-4. Buckets that still hold several components are finished in blocks: only
-   pairs of different components are looked at, each at its first common band,
-   and those whose signatures come near the threshold are proposed.
-5. Proposed pairs are confirmed on the full sets; large-star / small-star
-   joins the confirmed links. No bucket is ever expanded into all its pairs.
+4. Buckets that still hold several components are worked on in blocks, where
+   all pairs of different components whose signatures come near the threshold
+   are confirmed on the full sets, each pair at its first common band.
+5. Large-star / small-star joins the confirmed links. No bucket is ever
+   expanded into rows of pairs.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, stored
+from .common import map_texts, matrix, sorted_groups, stored
 from .graph import connected_components
 
 _SEED = 20240229
@@ -124,38 +126,89 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
             .select("src", "dst"))
 
 
-def _proposals(pct: int, rows: int, minima: int):
-    """In one block of an unfinished bucket: the near pairs of different components, at their first common band."""
-    least = int(minima * max(0.0, pct / 100 - MARGIN))
+class _Block:
+    """The columns of sorted block rows, and a group's near pairs of different components at their first common band."""
+
+    def __init__(self, t: pa.Table, minima: int, least: int):
+        self.key, self.task, self.ids, self.comp, self.own = (t[c].to_numpy() for c in ("key", "task", "doc_id", "comp", "block"))
+        self.minor, self.bands, self.least = t["minor"].to_numpy(), matrix(t["bands"]), least
+        self.sig = np.frombuffer(b"".join(t["sig"].to_pylist()), "<u2").reshape(len(self.ids), minima)
+
+    def pairs(self, lo: int, hi: int) -> Iterator[tuple[int, np.ndarray]]:
+        """Each visiting document's place and those of its partners."""
+        s = slice(lo, hi)
+        for i in (lo + np.flatnonzero(self.minor[s])).tolist():
+            fit = (self.comp[s] != self.comp[i]) & (~self.minor[s] | (
+                (np.minimum(self.own[s], self.own[i]) == self.task[i]) & (self.ids[s] > self.ids[i])))
+            j = lo + np.flatnonzero(fit)
+            j = j[(self.sig[j] == self.sig[i]).sum(axis=1) >= self.least]
+            if len(j):
+                j = j[self.bands[i][(self.bands[j] == self.bands[i]).argmax(axis=1)] == self.key[i]]
+            if len(j):
+                yield i, j
+
+
+def _involved(minima: int, least: int):
+    """Of each group the rows that some near pair needs."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, bounds in sorted_groups(batches, ["key", "task"]):
+            block, used = _Block(t, minima, least), np.zeros(t.num_rows, bool)
+            for lo, hi in bounds:
+                for i, j in block.pairs(lo, hi):
+                    used[i] = used[j] = True
+            yield from t.filter(pa.array(used)).to_batches()
+
+    return run
+
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        ids, comp = p["doc_id"].to_numpy(), p["comp"].to_numpy()
-        sig = np.frombuffer(b"".join(p["sig"]), "<u2").reshape(len(p), minima)
-        bands = np.stack(p["bands"].to_numpy())
-        minor, own = p["minor"].to_numpy(), p["block"].to_numpy()
-        key, t = p["key"].iloc[0], p["task"].iloc[0]
-        src, dst = [], []
-        for i in np.flatnonzero(minor):
-            fit = (comp != comp[i]) & (~minor | ((np.minimum(own, own[i]) == t) & (ids > ids[i])))
-            j = np.flatnonzero(fit)
-            j = j[(sig[j] == sig[i]).sum(axis=1) >= least]
-            same = bands[j] == bands[i]
-            j = j[bands[i][same.argmax(axis=1)] == key] if len(j) else j
-            src.append(np.full(len(j), ids[i]))
-            dst.append(ids[j])
-        a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (src, dst))
-        return pd.DataFrame({"src": a, "dst": b})
+def _links(minima: int, least: int, pct: int):
+    """The near pairs of each group that full sets confirm; of those that join what is joined already, none."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, bounds in sorted_groups(batches, ["key", "task"]):
+            block = _Block(t, minima, least)
+            lists = t["shingles"].combine_chunks()
+            at, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
+            size = np.diff(at)
+            src, dst = [], []
+            for lo, hi in bounds:
+                root = {c: c for c in block.comp[lo:hi].tolist()}
+
+                def find(c: int, root: dict = root) -> int:
+                    while root[c] != c:
+                        c = root[c]
+                    return c
+
+                for i, j in block.pairs(lo, hi):
+                    own = flat[at[i]:at[i + 1]]
+                    both = np.array([_common(own, flat[at[k]:at[k + 1]]) for k in j.tolist()])
+                    for k in j[100 * both >= pct * (size[i] + size[j] - both)].tolist():
+                        p, q = find(int(block.comp[i])), find(int(block.comp[k]))
+                        if p != q:
+                            root[max(p, q)] = min(p, q)
+                            src.append(block.ids[i])
+                            dst.append(block.ids[k])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t.schema.field("doc_id").type) for x in (src, dst)], ["src", "dst"])
 
     return run
 
 
-def _open_pairs(multi: DataFrame, comps: DataFrame, reps: DataFrame, pct: int, rows: int, minima: int) -> DataFrame:
-    """Candidate pairs of buckets that hold more than one component.
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    if len(a) < len(b):
+        a, b = b, a
+    return int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
+
+
+def _open_links(multi: DataFrame, comps: DataFrame, reps: DataFrame, sets: DataFrame, pct: int, minima: int) -> DataFrame:
+    """Links between components that share a bucket.
 
     The members of a bucket's largest component lie in one block each; the
     others visit every block. So a bucket of m near copies and a few
-    strangers costs about m rows, and memory is bounded by the block.
+    strangers costs about m rows, and memory is bounded by the block and its
+    visitors. Signatures first tell which rows some near pair needs; only these
+    get their full sets, and the pairs are confirmed in place.
     """
+    least = int(minima * max(0.0, pct / 100 - MARGIN))
     named = multi.join(comps, multi.doc_id == comps.node, "left").select(
         "key", "doc_id", "n", F.coalesce("component", "doc_id").alias("comp"))
     sizes = named.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
@@ -168,9 +221,23 @@ def _open_pairs(multi: DataFrame, comps: DataFrame, reps: DataFrame, pct: int, r
               .withColumn("task", F.explode(F.when(F.col("minor"), F.sequence(F.lit(0).cast("long"), blocks - 1))
                                             .otherwise(F.array("block")))))
     kind = dict(multi.dtypes)["doc_id"]
-    return (placed.join(reps.select("doc_id", "sig", "bands"), "doc_id")
+    placed = (placed.join(reps.select("doc_id", "sig", "bands"), "doc_id")
             .select("key", "task", "doc_id", "comp", "minor", "block", "sig", "bands")
-            .groupBy("key", "task").applyInPandas(_proposals(pct, rows, minima), f"src {kind}, dst {kind}"))
+            .repartition("key", "task").sortWithinPartitions("key", "task"))
+    needed = stored(placed.mapInArrow(_involved(minima, least), placed.schema), "minhash")
+    return (needed.join(sets, "doc_id").repartition("key", "task").sortWithinPartitions("key", "task")
+            .mapInArrow(_links(minima, least, pct), f"src {kind}, dst {kind}"))
+
+
+def _merged(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """``comps`` (node, component) after further links between its components and documents outside them."""
+    label = comps.toDF("id", "c")
+    edges = (links.join(label.toDF("src", "c1"), "src", "left").join(label.toDF("dst", "c2"), "dst", "left")
+             .select(F.coalesce("c1", "src").alias("src"), F.coalesce("c2", "dst").alias("dst")))
+    last = stored(connected_components(edges), "minhash").toDF("c", "final")
+    old = label.join(last, "c", "left").select(F.col("id").alias("node"), F.coalesce("final", "c").alias("component"))
+    new = last.join(comps, last["c"] == comps["node"], "left_anti").toDF("node", "component")
+    return stored(old.unionByName(new), "minhash")
 
 
 def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, ngram: int = 5, pct: int = 80,
@@ -202,13 +269,9 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             .join(sized.toDF("src", "n1"), "src").join(sized.toDF("dst", "n2"), "dst")
             .where(100 * F.least("n1", "n2") >= pct * F.greatest("n1", "n2")).select("src", "dst"))
     comps = stored(connected_components(_confirmed(star, sets, pct)), "minhash")
-    more = _confirmed(stored(_open_pairs(multi, comps, reps, pct, rows, minima), "minhash"), sets, pct)
-    label = comps.select(F.col("node").alias("id"), F.col("component").alias("c"))
-    joined = (more.join(label.toDF("src", "c1"), "src", "left").join(label.toDF("dst", "c2"), "dst", "left")
-              .select(F.coalesce("c1", "src").alias("src"), F.coalesce("c2", "dst").alias("dst")))
-    last = connected_components(joined).toDF("c", "final")
-    named = (rep_of.join(label.toDF("rep", "c"), "rep", "left").select("seq_hash", "rep", F.coalesce("c", "rep").alias("c"))
-             .join(last, "c", "left").select("seq_hash", F.coalesce("final", "c").alias("component")))
+    comps = _merged(comps, _open_links(multi, comps, reps, sets, pct, minima))
+    label = comps.toDF("rep", "c")
+    named = rep_of.join(label, "rep", "left").select("seq_hash", F.coalesce("c", "rep").alias("component"))
     out = sigs.join(named, "seq_hash", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce(component, F.col("doc_id")))
