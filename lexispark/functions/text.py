@@ -72,8 +72,10 @@ def char_length(c) -> Column:
 
 
 def numeric_coerce(c) -> Column:
-    """``to_numeric(errors='coerce')``: unparsable and NaN -> null."""
-    d = _c(c).try_cast("double")
+    """``to_numeric(errors='coerce')``: unparsable and NaN -> null; no type suffixes or hex floats."""
+    v = _c(c).cast("string")
+    plain = v.rlike(r"(?i)^\s*[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?|inf|infinity|nan)\s*$")
+    d = F.when(plain, v.try_cast("double"))
     return F.when(F.isnan(d), F.lit(None).cast("double")).otherwise(d)
 
 

@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T_
 
 from ..functions import text as T
-from ..session import spread
 
 MAX_N = 4
 # The BLEU configuration string reported with the score.
@@ -91,7 +90,6 @@ def bleu_segment_stats(df: DataFrame, hyp: str = "prediction", ref: str = "targe
     ``engine='native'`` uses the sorted-merge higher-order functions
     (no Python, but interpreted and O(L log L)). Both are map-only.
     """
-    df = spread(df)
     if engine == "arrow" and max_n == MAX_N:
         st = _bleu_stats_udf(T.tokenize_13a(hyp), T.tokenize_13a(ref))
         return df.withColumn("_bs", st).select(*df.columns, "_bs.*")
@@ -181,7 +179,6 @@ def _meteor_udf(hyp: pd.Series, ref: pd.Series) -> pd.DataFrame:
 
 def ter_segments(df: DataFrame, hyp: str = "prediction", ref: str = "target") -> DataFrame:
     """Per-segment (edits, ref_words); tokens are made JVM-side (lowercase, split)."""
-    df = spread(df)
     return df.withColumn("_ter", _ter_udf(T.tokenize_ter(hyp), T.tokenize_ter(ref))) \
              .select(*df.columns, "_ter.*")
 
@@ -198,7 +195,6 @@ def corpus_ter(df: DataFrame, group: Sequence[str] = ("system",),
 
 def meteor_segments(df: DataFrame, hyp: str = "prediction", ref: str = "target") -> DataFrame:
     """Per-segment METEOR statistics (exact + Porter stem stages)."""
-    df = spread(df)
     return df.withColumn("_met", _meteor_udf(T.ws_tokens(hyp), T.ws_tokens(ref))) \
              .select(*df.columns, "_met.*")
 

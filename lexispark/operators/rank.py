@@ -72,8 +72,8 @@ def global_limit(df: DataFrame, n: int | None, order: Iterable) -> DataFrame:
 
 
 def prefix_sample(df: DataFrame, n: int, order_col: str = "ord") -> DataFrame:
-    """The first n rows by input position (``ord`` is 0-based and dense)."""
-    return df if not n or n <= 0 else df.where(F.col(order_col) < n)
+    """The first n rows by input position, which need not be dense (a top-n, merged from each task's)."""
+    return df if not n or n <= 0 else df.orderBy(order_col).limit(n)
 
 
 def hash_key(seed: int, c) -> Column:

@@ -145,5 +145,6 @@ def volume_bucket(c) -> Column:
 
 
 def upweight(df: DataFrame, bucket_col: str = "sv_bucket") -> DataFrame:
-    """Replicate each row ``bucket`` times (explode of a sequence)."""
-    return df.withColumn("_rep", F.explode(F.sequence(F.lit(1), F.col(bucket_col)))).drop("_rep")
+    """Replicate each row ``bucket`` times (explode of a sequence); a row without a bucket is an error."""
+    times = F.when(F.col(bucket_col).isNull(), F.raise_error(F.lit(f"row without {bucket_col}")).cast("int")).otherwise(F.col(bucket_col))
+    return df.withColumn("_rep", F.explode(F.sequence(F.lit(1), times))).drop("_rep")

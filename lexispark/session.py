@@ -33,10 +33,16 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared checkpoint folder; set a temp one only when unset."""
+    """The shared checkpoint folder; a temp one is set only on a local master.
+
+    On a cluster each executor would write to its own disk, so an unset
+    ``spark.checkpoint.dir`` is an error there.
+    """
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="lexispark-ckpt-")
         sc.setCheckpointDir(root)
         root = sc.getCheckpointDir() or root
@@ -48,20 +54,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark)}/lexispark-{name}-{uuid.uuid4().hex[:12]}"
 
 
-def spread(df):
-    """Give CPU-heavy per-row work (tokenising, metric kernels) every core.
-
-    Repartitions round-robin only when the input has fewer partitions than
-    the cluster's default parallelism (a small file read as one split);
-    at scale the scan already has thousands of splits and this is a no-op,
-    so no shuffle is added where it is not needed.
-    """
-    sc = df.sparkSession.sparkContext
-    target = sc.defaultParallelism
-    n = df._jdf.rdd().getNumPartitions()
-    return df.repartition(target) if n < target else df
-
-
 _SHIPPED: set[str] = set()
 
 

@@ -134,7 +134,7 @@ def read_aligned_benchmark(spark: SparkSession, path: str, src_code: str, tgt_co
     df = spark.read.parquet(path).where(F.col("split") == split)
     out = df.select("ord", F.col(f"sentence_{src_code}").alias("source"),
                     F.col(f"sentence_{tgt_code}").alias("target"))
-    return out.where(F.col("ord") < max_samples) if max_samples and max_samples > 0 else out
+    return out.orderBy("ord").limit(max_samples) if max_samples and max_samples > 0 else out
 
 
 # ---- Schema alternatives (P3, P4, P7) --------------------------------------
