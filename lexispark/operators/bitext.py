@@ -44,13 +44,16 @@ def build_parallel(src: DataFrame, tgt: DataFrame, include_intents: bool = True,
 
     Both sides get dense positions from the distributed positional index,
     then an equi-join on the position (no single-task zip). The row counts
-    must be equal (checked first; this check is an action).
+    must be equal (checked first; this check is an action, which also finds
+    whether ``Volume`` has a missing value and so prints as float in pandas mode).
     """
     from ..sources.io import positional_id
-    n_src, n_tgt = src.count(), tgt.count()
+    n_src, holes = src.agg(F.count(F.lit(1)), F.count_if(F.col("Volume").isNull())).first()
+    n_tgt = tgt.count()
     if n_src != n_tgt:
-        raise AssertionError("Source and target must have same row count")
+        raise AssertionError(f"cannot pair {n_src} rows with {n_tgt} by position")
+    as_float = missing == "pandas" and holes > 0
     s = positional_id(src, [order_col], "_pos").select(
-        "_pos", keyword_template(src, include_intents, missing).alias("input"))
+        "_pos", keyword_template(src, include_intents, missing, as_float).alias("input"))
     t = positional_id(tgt, [order_col], "_pos").select("_pos", F.col("Keyword").alias("target"))
     return s.join(t, "_pos").drop("_pos")

@@ -21,7 +21,7 @@ def require_columns(df: DataFrame, cols: Iterable[str]) -> DataFrame:
     """P5: raise at build time, listing every missing column."""
     missing = sorted(set(cols) - set(df.columns))
     if missing:
-        raise KeyError(f"Missing columns in input: {missing}")
+        raise KeyError(f"the table lacks {', '.join(missing)}")
     return df
 
 

@@ -2,19 +2,21 @@
 
 The model is a pluggable scorer. Two kinds:
 
-* a **lexicon** scorer: a table ``(source, target, cand_rank)``; generation
-  is then a plain Spark join + top-k window (no Python at all);
+* a **lexicon** scorer: a table ``(source, target, cand_rank)``, with
+  ``src_lang`` / ``tgt_lang`` where targets depend on them; generation is
+  then a plain Spark join + top-k window (no Python at all);
 * a **batch function** ``fn(sources, src_lang, tgt_lang) -> list[list[str]]``
-  run with ``mapInPandas``: Arrow batches (``batch_size`` rows) per Python
-  worker, the function loaded once per worker, language passed as columns.
+  run in a pandas UDF: ``batch_size`` rows of one language pair a call, the
+  function loaded once per worker, language passed as columns.
 
 Predictions are always attached by key, never by position.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,59 +27,67 @@ from . import clean, rank
 GenerateFn = Callable[[list[str], str, str], list[list[str]]]
 
 
+def _lexicon_keys(lexicon: DataFrame) -> list[str]:
+    """What a lexicon is looked up by: the source, and the languages it names."""
+    return ["source"] + [c for c in ("src_lang", "tgt_lang") if c in lexicon.columns]
+
+
 def lexicon_topk(lexicon: DataFrame, k: int) -> DataFrame:
-    """First k lexicon candidates per source (WindowGroupLimit, skew-safe)."""
-    return rank.topk_per_key(lexicon, ["source"], [F.col("cand_rank"), F.col("target")], k)
+    """First k lexicon candidates per source and language (WindowGroupLimit, skew-safe)."""
+    return rank.topk_per_key(lexicon, _lexicon_keys(lexicon), [F.col("cand_rank"), F.col("target")], k)
+
+
+def _queries(queries: DataFrame) -> DataFrame:
+    """F4-F6, and only queries whose languages are known; repeated queries stay."""
+    return clean.clean_queries(queries, "source").dropna(subset=["src_lang", "tgt_lang"])
 
 
 def nbest(queries: DataFrame, lexicon: DataFrame, k: int = 5) -> DataFrame:
-    """T1 with a lexicon scorer: clean queries (F4-F6), take each source's
-    k candidates, strip, drop empty, keep the first of repeats (W2), one row
-    per candidate carrying the source's volume."""
-    q = clean.clean_queries(queries, "source")
-    cands = lexicon_topk(lexicon, k).select("source", "target", "cand_rank")
-    j = q.join(cands, "source", "inner").withColumn("target", T.py_strip("target"))
-    j = j.where(F.col("target") != "")
-    keys = [c for c in q.columns] + ["target"]
-    first = F.min(F.struct("cand_rank")).alias("_f")
-    return j.groupBy(*keys).agg(first).select(*keys, F.col("_f.cand_rank").alias("cand_rank"))
+    """T1 with a lexicon scorer: clean queries, take each key's k candidates,
+    strip, drop empty, keep the first of repeats (W2), one row per query row
+    and candidate. Candidates are made unique before the join, so equal query
+    rows each get theirs."""
+    q, keys = _queries(queries), _lexicon_keys(lexicon)
+    named = lexicon_topk(lexicon, k).withColumn("target", T.py_strip("target")).where("target <> ''")
+    cands = named.groupBy(*keys, "target").agg(F.min("cand_rank").alias("cand_rank"))
+    return q.join(cands, keys).select(*q.columns, "target", "cand_rank")
 
 
 def nbest_with(queries: DataFrame, fn: GenerateFn, k: int = 5, batch_size: int = 32) -> DataFrame:
-    """T1 with a batch function (e.g. a seq2seq model), via ``mapInPandas``.
+    """T1 with a batch function (e.g. a seq2seq model) in an Arrow pandas UDF.
 
-    Output rows are (source, src_lang, target, tgt_lang, volume, cand_rank).
+    Python returns each row's raw candidates only; stripping, dropping empty
+    ones and repeats, and ranks are Spark expressions. Output rows are
+    (source, src_lang, target, tgt_lang, volume, cand_rank).
     """
-    q = clean.clean_queries(queries, "source").select("source", "src_lang", "tgt_lang", "volume")
-    schema = "source string, src_lang string, target string, tgt_lang string, volume double, cand_rank int"
-
-    def run(batches: Iterable[pd.DataFrame]):
-        for pdf in batches:
-            rows = []
-            for (sl, tl), g in pdf.groupby(["src_lang", "tgt_lang"], sort=True):
-                srcs, vols = g["source"].tolist(), g["volume"].tolist()
-                for i in range(0, len(srcs), batch_size):
-                    outs = fn(srcs[i:i + batch_size], sl, tl)
-                    for s, v, cands in zip(srcs[i:i + batch_size], vols[i:i + batch_size], outs):
-                        seen = set()
-                        for r, t in enumerate(cands[:k], 1):
-                            t = t.strip()
-                            if t and t not in seen:
-                                seen.add(t)
-                                rows.append((s, sl, t, tl, v, r))
-            yield pd.DataFrame(rows, columns=["source", "src_lang", "target", "tgt_lang",
-                                              "volume", "cand_rank"])
-
-    return q.withColumn("volume", F.col("volume").cast("double")).mapInPandas(run, schema)
+    @F.pandas_udf("array<string>")
+    def beams(source: pd.Series, src_lang: pd.Series, tgt_lang: pd.Series) -> pd.Series:
+        codes, pairs = pd.MultiIndex.from_arrays([src_lang, tgt_lang]).factorize()
+        out = np.empty(len(source), object)
+        for code, pair in enumerate(pairs):
+            at = np.flatnonzero(codes == code)
+            for part in np.array_split(at, -(-len(at) // batch_size)):
+                for i, found in zip(part, fn(source.iloc[part].tolist(), *pair), strict=True):
+                    out[i] = list(found)
+        return pd.Series(out)
+
+    d = _queries(queries).withColumn("_beams", beams("source", "src_lang", "tgt_lang"))
+    d = d.withColumn("_names", F.transform(F.slice("_beams", 1, k), T.py_strip))
+    d = d.withColumn("target", F.explode(clean.nbest_distinct("_names")))
+    return d.select("source", "src_lang", "target", "tgt_lang", F.col("volume").cast("double").alias("volume"),
+                    F.array_position("_names", F.col("target")).cast("int").alias("cand_rank"))
 
 
 def predict(df: DataFrame, lexicon: DataFrame, key: str = "source") -> DataFrame:
-    """T2 with a lexicon scorer: 1-best candidate, stripped; a source the
-    lexicon lacks is copied through (the identity fallback)."""
-    best = lexicon_topk(lexicon, 1).select(F.col("source").alias("_src"),
-                                           T.py_strip("target").alias("_pred"))
-    j = df.join(best, df[key] == best["_src"], "left")
-    return j.withColumn("prediction", F.coalesce(F.col("_pred"), F.col(key))).drop("_src", "_pred")
+    """T2 with a lexicon scorer: 1-best candidate of the row's source and
+    languages, stripped; a source the lexicon lacks is copied through (the
+    identity fallback)."""
+    keys = _lexicon_keys(lexicon)
+    clean.require_columns(df, keys[1:])
+    best = lexicon_topk(lexicon, 1).select(*[F.col(c).alias(f"_k_{c}") for c in keys], T.py_strip("target").alias("_pred"))
+    on = [df[key if c == "source" else c] == best[f"_k_{c}"] for c in keys]
+    j = df.join(best, on, "left")
+    return j.withColumn("prediction", F.coalesce(F.col("_pred"), F.col(key))).drop("_pred", *[f"_k_{c}" for c in keys])
 
 
 def predict_with(df: DataFrame, fn: Callable[[list[str]], list[str]], col: str = "source",
@@ -119,14 +129,14 @@ def vocab_build(texts: DataFrame, cols: Sequence[str] = ("input", "target")) ->
 def _encode_col(df: DataFrame, key: str, col: str, vocab: DataFrame, max_len: int,
                 pad_id: int, prefix: str) -> DataFrame:
     """Token ids (truncated + EOS + padded) and attention mask for one column."""
-    toks = df.select(key, F.posexplode(T.ws_tokens(col)).alias("_pos", "word"))
+    toks = df.select(key, F.posexplode(F.slice(T.ws_tokens(col), 1, max_len - 1)).alias("_pos", "word"))
     ids = toks.join(vocab.select("word", "token_id"), "word", "left") \
               .withColumn("token_id", F.coalesce(F.col("token_id"), F.lit(UNK_ID)))
     per = ids.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_pos", "token_id"))).alias("_t"))
     per = per.select(key, F.transform("_t", lambda x: x["token_id"]).alias("_ids"))
     base = df.select(key).join(per, key, "left") \
              .withColumn("_ids", F.coalesce(F.col("_ids"), F.array().cast("array<int>")))
-    body = F.concat(F.slice(F.col("_ids"), 1, max_len - 1), F.array(F.lit(EOS_ID)))
+    body = F.concat(F.col("_ids"), F.array(F.lit(EOS_ID)))
     n = F.size(body)
     padded = F.concat(body, F.array_repeat(F.lit(pad_id), F.lit(max_len) - n))
     mask = F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), F.lit(max_len) - n))
@@ -143,5 +153,4 @@ def encode_fixed_length(df: DataFrame, vocab: DataFrame, key: str = "id", max_sr
     src = _encode_col(df, key, "input", vocab, max_src_len, PAD_ID, "input")
     tgt = _encode_col(df, key, "target", vocab, max_tgt_len,
                       PAD_ID if label_pad is None else label_pad, "labels")
-    out = src.join(tgt, key).withColumnRenamed("input_mask", "attention_mask").drop("labels_mask")
-    return out.withColumnRenamed("input_ids", "input_ids")
+    return src.join(tgt, key).withColumnRenamed("input_mask", "attention_mask").drop("labels_mask")

@@ -48,11 +48,9 @@ def read_result_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     for d in frames[1:]:
         out = out.unionByName(d, allowMissingColumns=True)
     fp = F.col("file_path")
-    parts = F.regexp_extract(fp, r"([^/]+)/([^/]+)/([^/]+?)_eval\.csv(/[^/]*)?$", 0)
     return (out.withColumn("family", F.regexp_extract(fp, r"([^/]+)/[^/]+/[^/]+_eval\.csv", 1))
                .withColumn("pair", F.regexp_extract(fp, r"[^/]+/([^/]+)/[^/]+_eval\.csv", 1))
-               .withColumn("variant", F.regexp_extract(fp, r"_([^_/]+)_eval\.csv", 1))
-               .withColumn("_parts", parts).drop("_parts"))
+               .withColumn("variant", F.regexp_extract(fp, r"_([^_/]+)_eval\.csv", 1)))
 
 
 def fingerprint(c) -> F.Column:
@@ -62,15 +60,16 @@ def fingerprint(c) -> F.Column:
 
 def run_set_audit(ledger: DataFrame, file_col: str = "run") -> DataFrame:
     """Per run: rows, prediction/source fingerprints, missing predictions,
-    and the first other run with identical predictions (a duplicate run)."""
+    and the first other run with identical predictions (a duplicate run): the
+    smallest or second smallest of its fingerprint, without pairing runs."""
     per = ledger.groupBy(file_col).agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.sum(fingerprint("prediction")).alias("pred_fp"),
         F.sum(fingerprint("source")).alias("src_fp"),
         F.count_if(F.col("prediction").isNull() | (T.py_strip("prediction") == "")).alias("n_missing"))
-    other = per.select(F.col(file_col).alias("_other"), F.col("pred_fp").alias("_fp"),
-                       F.col("n_rows").alias("_n"))
-    dup = per.join(other, (per["pred_fp"] == other["_fp"]) & (per["n_rows"] == other["_n"])
-                   & (per[file_col] != other["_other"]), "left") \
-             .groupBy(file_col).agg(F.min("_other").alias("duplicate_of"))
-    return per.join(dup, file_col)
+    same = ["pred_fp", "n_rows"]
+    first = per.groupBy(*same).agg(F.min(file_col).alias("_first"))
+    known = per.join(first, same)
+    second = known.where(F.col(file_col) != F.col("_first")).groupBy(*same).agg(F.min(file_col).alias("_second"))
+    other = F.when(F.col(file_col) != F.col("_first"), F.col("_first")).otherwise(F.col("_second"))
+    return known.join(second, same, "left").select(*per.columns, other.alias("duplicate_of"))

@@ -8,7 +8,8 @@ then earlier destinations. A block is only considered when its words
 match the reference at the destination and both the block and that
 reference span are currently mis-aligned.
 
-Pure Python with two speed-ups: edit distances of candidate shifts resume
+Pure Python with exact speed-ups: reference positions are looked up by word,
+blocks whose greatest possible gain cannot beat the best move so far are skipped, edit distances of candidate shifts resume
 a bit-parallel Levenshtein (Myers/Hyyro) from the cached state of the
 unchanged prefix, and the alignment of the current hypothesis uses a
 numpy row DP. Called from an Arrow UDF, one segment at a time.
@@ -16,6 +17,8 @@ numpy row DP. Called from an Arrow UDF, one segment at a time.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 import numpy as np
 
 # Published TER shift constraints.
@@ -75,13 +78,13 @@ def _alignment(hyp: list[int], ref: list[int]):
     """Edit distance plus alignment: ref position -> hyp position for
     matches/substitutions, and per-position error flags."""
     n, m = len(hyp), len(ref)
-    ref_a = np.asarray(ref, dtype=np.int64)
-    rng = np.arange(m + 1, dtype=np.int64)
-    rows = np.empty((n + 1, m + 1), dtype=np.int64)
+    ref_a = np.asarray(ref, dtype=np.int32)
+    rng = np.arange(m + 1, dtype=np.int32)
+    rows = np.empty((n + 1, m + 1), dtype=np.int32)
     rows[0] = rng
     for j in range(1, n + 1):
         prev = rows[j - 1]
-        tmp = np.empty(m + 1, dtype=np.int64)
+        tmp = np.empty(m + 1, dtype=np.int32)
         tmp[0] = j
         tmp[1:] = np.minimum(prev[1:] + 1, prev[:-1] + (ref_a != hyp[j - 1]))
         rows[j] = np.minimum.accumulate(tmp - rng) + rng
@@ -121,13 +124,20 @@ def _best_shift(hyp, ref, lev: _Levenshtein):
         return 0, hyp
     states = lev.prefix_states(hyp)
     n, m = len(hyp), len(ref)
+    places: dict[int, list[int]] = {}
+    for r, w in enumerate(ref):
+        places.setdefault(w, []).append(r)
     best = None
     for s in range(n):
-        for r in range(max(0, s - MAX_SHIFT_DIST), min(m, s + MAX_SHIFT_DIST + 1)):
+        at = places.get(hyp[s], [])
+        for r in at[bisect_left(at, s - MAX_SHIFT_DIST):bisect_right(at, s + MAX_SHIFT_DIST)]:
             length = 0
             while (length < MAX_SHIFT_SIZE and s + length < n and r + length < m
                    and hyp[s + length] == ref[r + length]):
                 length += 1
+                # moving a block changes the distance by at most twice its length
+                if best is not None and (2 * length, length, -s) < best[0][:3]:
+                    continue
                 if not any(hyp_err[s:s + length]) or not any(ref_err[r:r + length]):
                     continue
                 if s <= align.get(r, -1) < s + length:

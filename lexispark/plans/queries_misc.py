@@ -207,6 +207,30 @@ def q_nbest_candidates(spark, sf):
     return infer.nbest(fx.kw_query(spark, sf), fx.lexicon(spark, sf), 5)
 
 
+_BY_LANGUAGE = f"""c as (select source, src_lang, tgt_lang, {O.strip('target')} as target, min(cand_rank) as cand_rank
+      from (select * from lang_lexicon
+            qualify row_number() over (partition by source, src_lang, tgt_lang order by cand_rank, target) <= 5)
+      where {O.strip('target')} <> '' group by all)"""
+
+
+@register("nbest_by_language", O.with_(fx.LANG_SQL, _BY_LANGUAGE) + f"""
+select q.source, q.src_lang, q.tgt_lang, q.volume, c.target, c.cand_rank
+from lang_query q join c on q.source = c.source and q.src_lang = c.src_lang and q.tgt_lang = c.tgt_lang
+where lower(q.source) <> 'source' and {O.strip('q.source')} <> ''""")
+def q_nbest_by_language(spark, sf):
+    return infer.nbest(fx.lang_query(spark, sf), fx.lang_lexicon(spark, sf), 5)
+
+
+@register("predict_by_language", O.with_(fx.LANG_SQL) + f"""
+, b as (select *, {O.strip('target')} as p from lang_lexicon
+      qualify row_number() over (partition by source, src_lang, tgt_lang order by cand_rank, target) = 1)
+select q.source, q.tgt_lang, q.volume, coalesce(b.p, q.source) as prediction from lang_query q
+left join b on q.source = b.source and q.src_lang = b.src_lang and q.tgt_lang = b.tgt_lang""")
+def q_predict_by_language(spark, sf):
+    return infer.predict(fx.lang_query(spark, sf), fx.lang_lexicon(spark, sf)).select(
+        "source", "tgt_lang", "volume", "prediction")
+
+
 @register("nbest_dedup", O.with_(O.LEXICON_SQL) + f"""
 , c as (select source, target, cand_rank from lexicon
       qualify row_number() over (partition by source order by cand_rank, target) <= 5),

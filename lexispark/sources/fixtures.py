@@ -79,6 +79,27 @@ def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def lang_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries with repeated rows and missing target languages."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
+    p = p.unionByName(p.where("p_partkey % 5 = 0"))
+    k = F.col("p_partkey")
+    return p.select(F.col("p_name").alias("source"), F.lit("en_XX").alias("src_lang"),
+                    F.when(k % 7 != 0, F.when(k % 2 == 0, "de_DE").otherwise("nl_XX")).alias("tgt_lang"),
+                    (F.col("p_size") * 10).cast("long").alias("volume"))
+
+
+def lang_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scorer table whose targets depend on the language pair."""
+    from pyspark.sql import Window
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
+    p = p.withColumn("tgt_lang", F.when(F.col("p_partkey") % 2 == 0, "de_DE").otherwise("nl_XX"))
+    w = Window.partitionBy("p_name", "tgt_lang").orderBy("p_partkey")
+    return p.select(F.col("p_name").alias("source"), F.lit("en_XX").alias("src_lang"), "tgt_lang",
+                    F.concat(F.lit(" "), F.col("p_brand"), F.lit(" "), F.col("tgt_lang")).alias("target"),
+                    F.row_number().over(w).cast("long").alias("cand_rank"))
+
+
 def mt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, source, target, prediction, system, comet_score_segment.
 
@@ -138,6 +159,15 @@ LEXICON_SQL = """lexicon as (
   select p_name as source, concat(' ', p_brand, ' ') as target,
     cast(row_number() over (partition by p_name order by p_partkey) as bigint) as cand_rank from part)"""
 
+LANG_SQL = """lang_query as (
+  select p_name as source, 'en_XX' as src_lang, case when p_partkey % 7 = 0 then null when p_partkey % 2 = 0
+    then 'de_DE' else 'nl_XX' end as tgt_lang, cast(p_size*10 as bigint) as volume
+  from (select * from part union all select * from part where p_partkey % 5 = 0)),
+lang_lexicon as (
+  select p_name as source, 'en_XX' as src_lang, l as tgt_lang, concat(' ', p_brand, ' ', l) as target,
+    cast(row_number() over (partition by p_name, l order by p_partkey) as bigint) as cand_rank
+  from (select *, case when p_partkey % 2 = 0 then 'de_DE' else 'nl_XX' end as l from part))"""
+
 MT_SQL = """mt as (
   select u.conv_id*1000+u.turn as id, u.text as source, a.text as target,
     case u.conv_id % 3 when 0 then a.text
