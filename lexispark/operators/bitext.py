@@ -11,7 +11,7 @@ def _text(c: Column, dt: T_.DataType, any_missing: bool, missing: str) -> Column
     """A cell as pandas would print it: a numeric column holding a missing
     value prints as float (``590.0``); missing prints ``nan`` in pandas mode."""
     if isinstance(dt, (T_.IntegerType, T_.LongType, T_.ShortType)) and any_missing:
-        s = F.format_string("%.1f", c.cast("double"))
+        s = F.when(c.isNotNull(), F.format_string("%.1f", c.cast("double")))
     else:
         s = c.cast("string")
     return F.coalesce(s, F.lit("nan")) if missing == "pandas" else s

@@ -39,3 +39,23 @@ def test_encode_fixed_length_pads_and_masks(spark):
     assert e[0].attention_mask == [1, 1, 1, 1]
     assert e[1].input_ids == [infer.EOS_ID, 0, 0, 0] and e[1].attention_mask == [1, 0, 0, 0]
     assert e[0].labels_ids[1:] == [infer.EOS_ID, -100]
+
+
+def test_equal_queries_each_get_their_candidates_and_null_languages_go(spark):
+    q = spark.createDataFrame(
+        [("a", "en_XX", "de_DE", 1), ("a", "en_XX", "de_DE", 1), ("a", "en_XX", "nl_XX", 1), ("a", "en_XX", None, 1)],
+        "source string, src_lang string, tgt_lang string, volume long")
+    lex = spark.createDataFrame(
+        [("a", "en_XX", "de_DE", " x ", 1), ("a", "en_XX", "de_DE", "y", 2), ("a", "en_XX", "de_DE", "x", 3),
+         ("a", "en_XX", "nl_XX", "z", 1)], "source string, src_lang string, tgt_lang string, target string, cand_rank long")
+    got = sorted((r.tgt_lang, r.target, r.cand_rank) for r in infer.nbest(q, lex).collect())
+    assert got == [("de_DE", "x", 1), ("de_DE", "x", 1), ("de_DE", "y", 2), ("de_DE", "y", 2), ("nl_XX", "z", 1)]
+    best = sorted((r.tgt_lang or "", r.prediction) for r in infer.predict(q, lex).collect())
+    assert best == [("", "a"), ("de_DE", "x"), ("de_DE", "x"), ("nl_XX", "z")]
+
+
+def test_encode_cuts_long_rows_before_the_join(spark):
+    d = spark.createDataFrame([(0, "w " * 20_000, "x")], "id long, input string, target string")
+    vocab = infer.vocab_build(d)
+    e = infer.encode_fixed_length(d, vocab, "id", 16, 8).first()
+    assert e.input_ids == [infer.N_SPECIAL] * 15 + [infer.EOS_ID]

@@ -76,3 +76,28 @@ def test_family_code(spark):
     bad = spark.createDataFrame([("m2m100", "fra_Latn")], "f string, c string")
     with pytest.raises(Exception):
         bad.select(L.family_code("f", "c")).collect()
+
+
+def test_header_names_follow_the_unquote_rule():
+    from lexispark.sources.io import clean_header_name as name
+
+    assert [name(x) for x in ('\ufeff"#"', " Keyword ", '"SERP Features"', '"', "Vol\x00ume", '""')] == [
+        "ID", "Keyword", "SERP Features", '"', "Volume", ""]
+
+
+def test_export_with_crlf_line_ends(spark, tmp_path):
+    from lexispark.sources import io
+
+    body = "\ufeff\"#\"\tKeyword\tVolume\tSERP Features\tIntents\r\n1\tred shoes\t590\tImages\tInfo\r\n2\tblue\t10\t\tNav\r\n"
+    (tmp_path / "e.csv").write_bytes(body.encode("utf-16-le"))
+    got = sorted(tuple(r) for r in io.read_keyword_export(spark, str(tmp_path / "e.csv")).collect())
+    assert got == [(1, "red shoes", 590, "Images", "Info"), (2, "blue", 10, None, "Nav")]
+
+
+def test_a_missing_volume_prints_all_volumes_as_float(spark):
+    from lexispark.operators import bitext
+
+    src = spark.createDataFrame([(0, "a", 590, "s", "i"), (1, "b", None, "s", "i")],
+                                "ord long, Keyword string, Volume long, `SERP Features` string, Intents string")
+    out = sorted(r.input for r in bitext.build_parallel(src, src, missing="pandas").collect())
+    assert out == ["Keyword: a | Volume: 590.0 | SERP: s | Intents: i", "Keyword: b | Volume: nan | SERP: s | Intents: i"]

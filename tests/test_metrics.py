@@ -104,3 +104,19 @@ def test_comet_rollup(spark):
     d = spark.createDataFrame(rows, "system string, id long, comet_score_segment double")
     got = {(r.system, r.id): r.comet_score_system for r in M.comet_rollup(d).collect()}
     assert got == {("A", 0): 0.75, ("A", 1): 0.75, ("B", 0): 0.25}
+
+
+def test_ter_of_a_long_shuffled_segment_ends_soon():
+    import random
+    import time
+
+    from lexispark.operators.ter import ter_counts
+
+    r = random.Random(3)
+    ref = [f"w{i}" for i in range(200)]
+    hyp = r.sample(ref, len(ref))
+    start = time.monotonic()
+    edits, n = ter_counts(hyp, ref)
+    assert n == 200 and 0 < edits < 200 and time.monotonic() - start < 30
+    moved = ref[50:58] + ref[:50] + ref[58:]
+    assert ter_counts(moved, ref) == (1, 200)
