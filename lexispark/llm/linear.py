@@ -1,8 +1,8 @@
 """Partition-summed least squares and isotonic calibration, shared by the classifiers.
 
 Each Python task sums its own normal equations; the sums are added in a fixed
-number of groups, so the driver gets ``GROUPS`` matrices of features squared,
-whatever the number of rows or tasks.
+number of groups and these once more, so the driver gets one matrix of features
+squared a part, whatever the number of rows or tasks.
 """
 
 from __future__ import annotations
@@ -40,11 +40,9 @@ def normal_equations(rows: DataFrame, features: Callable[[pd.DataFrame], np.ndar
         total = sum(np.frombuffer(m) for m in p["m"])
         return pd.DataFrame([(p["part"].iloc[0], total.tobytes())], columns=["part", "m"])
 
-    out: dict[int, np.ndarray] = {}
-    for r in (rows.mapInPandas(partial, "part int, g int, m binary").groupBy("part", "g")
-              .applyInPandas(added, "part int, m binary").collect()):
-        m = np.frombuffer(r["m"]).reshape(width, width + k)
-        out[r["part"]] = out.get(r["part"], 0) + m
+    grouped = rows.mapInPandas(partial, "part int, g int, m binary").groupBy("part", "g").applyInPandas(added, "part int, m binary")
+    out = {r["part"]: np.frombuffer(r["m"]).reshape(width, width + k)
+           for r in grouped.groupBy("part").applyInPandas(added, "part int, m binary").collect()}
     return {f: (m[:, :width], m[:, width:]) for f, m in out.items()}
 
 
