@@ -26,7 +26,7 @@ from .common import map_columns, map_texts
 SPACE = "▁"
 #: Stands for a literal SPACE of a text while it is encoded; no decoded text holds a lone surrogate.
 LITERAL = "\udc81"
-#: Segments between certain boundaries that are remembered, and their greatest length.
+#: Words, and segments between certain boundaries, that are remembered, and their greatest length.
 _CACHE, _CACHED_CHARS = 400_000, 48
 
 
@@ -62,15 +62,23 @@ class Pieces:
         self.cut = re.compile({(True, True): f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+", (True, False): f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+"}
                               .get((apart, lines), "(?s:.+)"))
         self.bigrams = {p[k:k + 2] for p in self.score for k in range(len(p) - 1)}
-        self.is_byte = {i: b for b, i in enumerate(self.bytes)}
-        self.cache: dict[str, list[int]] = {}
+        # every ending of a piece, with its score and id if it is a piece itself: where none matches, no longer one can
+        self.ending: dict[str, tuple[float, int]] = {p[k:]: (-np.inf, -1) for p in self.score for k in range(1, len(p))} | self.score
+        # a piece that scores more than two of the best beats every other path over its characters
+        self.sure = 2 * max(s for s, _ in self.score.values())
+        self.raw = [piece.replace(SPACE, " ").encode() for piece in self.text]
+        self.is_byte = {i: b for b, i in enumerate(self.bytes) if i >= 0}
+        for i, b in self.is_byte.items():
+            self.raw[i] = bytes((b,))
+        self.words: dict[str, tuple[int, ...]] = {}
+        self.parts: dict[str, tuple[int, ...]] = {}
 
     def fallback(self, char: str) -> list[int]:
         return [self.bytes[b] for b in (SPACE if char == LITERAL else char).encode("utf-8", "surrogatepass")]
 
     def viterbi(self, chars: Iterable[str]) -> Iterator[list[int]]:
         """Ids of a character stream, committed part by part; the window holds ``longest`` positions."""
-        longest, score = self.longest, self.score
+        longest, ending = self.longest, self.ending
         check = 4 * longest
         base, window = 0, ""  # window[i] is the character at base + i
         best: list[float] = [0.0]  # best[i]: score of the best path to base + i
@@ -80,9 +88,11 @@ class Pieces:
             end = len(window)
             top = best[end - 1] + self.byte_score * (1 if c < "\x80" else len(c.encode("utf-8", "surrogatepass")))
             came: tuple[int, list[int] | None] = (base + end - 1, None)
-            for start in range(max(0, end - longest), end):
-                known = score.get(window[start:end])
-                if known is not None and best[start] + known[0] > top:
+            for start in range(end - 1, max(0, end - longest) - 1, -1):
+                known = ending.get(window[start:end])
+                if known is None:
+                    break
+                if known[1] >= 0 and best[start] + known[0] >= top:  # of equal paths that with the longer last piece
                     top, came = best[start] + known[0], (base + start, [known[1]])
             best.append(top)
             back.append(came if came[1] is not None else (came[0], self.fallback(c)))
@@ -127,20 +137,36 @@ class Pieces:
         if not text:
             return []
         out: list[int] = []
+        words = self.words
         for word in self.cut.findall(SPACE + text.replace(SPACE, LITERAL).replace(" ", SPACE)):
-            ids = self.cache.get(word)
+            ids = words.get(word)
             if ids is None:
-                ids = [i for s in self.segments(word) for part in self.viterbi(s) for i in part]
-                if len(word) <= _CACHED_CHARS:
-                    if len(self.cache) >= _CACHE:
-                        self.cache.clear()
-                    self.cache[word] = ids
+                ids = tuple(i for s in self.segments(word) for i in self._segment(s))
+                self._remember(words, word, ids)
             out += ids
         return out
 
+    def _segment(self, chars: str) -> tuple[int, ...]:
+        ids = self.parts.get(chars)
+        if ids is None:
+            known = self.score.get(chars)
+            if known is not None and known[0] > self.sure:
+                ids = (known[1],)
+            else:
+                ids = tuple(i for part in self.viterbi(chars) for i in part)
+            self._remember(self.parts, chars, ids)
+        return ids
+
+    @staticmethod
+    def _remember(cache: dict[str, tuple[int, ...]], chars: str, ids: tuple[int, ...]) -> None:
+        if len(chars) <= _CACHED_CHARS:
+            if len(cache) >= _CACHE:
+                cache.clear()
+            cache[chars] = ids
+
     def decode(self, ids: Iterable[int]) -> str:
         """The text that ``ids`` encode: pieces with spaces for their marks, bytes as they are, less the leading space."""
-        raw = b"".join([bytes((self.is_byte[i],)) if i in self.is_byte else self.text[i].replace(SPACE, " ").encode() for i in ids])
+        raw = b"".join(map(self.raw.__getitem__, ids))
         return raw.removeprefix(b" ").decode("utf-8", "replace")
 
 
