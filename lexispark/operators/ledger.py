@@ -6,9 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from ..functions import text as T
 
+#: Columns of result files that are not text.
+NUMERIC = {"id": "long", "comet_score_system": "double", "comet_score_segment": "double"}
+
 
 def volume_enrich(cands: DataFrame, keywords: DataFrame, term: str = "term", lang: str = "lang",
                   volume: str = "volume", on_term: str = "target_norm",
@@ -37,36 +41,58 @@ def keyword_preservation(df: DataFrame, group: Sequence[str] = ("system",),
 
 
 def read_result_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Union result CSVs of drifted layouts by name; ``input`` -> ``source``;
-    ``family``/``pair``/``variant`` parsed from ``{family}/{pair}/{file}``."""
+    """Union result CSVs of drifted layouts by name; ``input`` -> ``source``.
+
+    Only the headers are read one by one; files of one layout share one scan
+    with string columns, ``id`` and scores cast afterwards. The columns
+    ``pair`` and ``variant`` come from the file's name
+    (``{prefix}_{xx}_{yy}[_{variant}]_eval.csv``), ``family`` from the folder
+    above it or above its pair folder, ``folder_pair`` from the latter (empty
+    without one): it differs from ``pair`` where a file is misfiled.
+    """
     from ..sources import io
-    frames = []
+    layouts: dict[tuple[str, ...], list[str]] = {}
     for p in paths:
-        d = io.harmonise_pair(io.read_csv(spark, p, with_file=True, with_ord=False, multiline=True))
-        frames.append(d)
-    out = frames[0]
-    for d in frames[1:]:
-        out = out.unionByName(d, allowMissingColumns=True)
+        header = io.read_csv(spark, p, with_ord=False, multiline=True, inferSchema=False).columns
+        layouts.setdefault(tuple(header), []).append(p)
+    out = None
+    for cols, files in layouts.items():
+        schema = T_.StructType([T_.StructField(c, T_.StringType()) for c in cols])
+        d = io.harmonise_pair(io.read_csv(spark, files, schema, with_file=True, with_ord=False, multiline=True))
+        d = d.select(*[F.col(f"`{c}`").cast(NUMERIC.get(c, "string")).alias(c) for c in d.columns])
+        out = d if out is None else out.unionByName(d, allowMissingColumns=True)
+    if out is None:
+        raise ValueError("no result files are given")
     fp = F.col("file_path")
-    return (out.withColumn("family", F.regexp_extract(fp, r"([^/]+)/[^/]+/[^/]+_eval\.csv", 1))
-               .withColumn("pair", F.regexp_extract(fp, r"[^/]+/([^/]+)/[^/]+_eval\.csv", 1))
-               .withColumn("variant", F.regexp_extract(fp, r"_([^_/]+)_eval\.csv", 1)))
+    name = r"/[^/]+?_([a-z]{2}_[a-z]{2})(?:_([^/]+))?_eval\.csv"
+    return (out.withColumn("family", F.regexp_extract(fp, r"([^/]+)/(?:[a-z]{2}_[a-z]{2}/)?[^/]+_eval\.csv", 1))
+               .withColumn("pair", F.regexp_extract(fp, name, 1))
+               .withColumn("folder_pair", F.regexp_extract(fp, r"/([a-z]{2}_[a-z]{2})/[^/]+_eval\.csv", 1))
+               .withColumn("variant", F.coalesce(F.regexp_extract(fp, name, 2), F.lit(""))))
 
 
 def fingerprint(c) -> F.Column:
-    """Order-independent per-row hash contribution (32 bits of md5)."""
-    return F.conv(F.substring(F.md5(F.coalesce(T._c(c), F.lit(""))), 1, 8), 16, 10).cast("long")
+    """Order-independent per-row hash contribution: 60 bits of md5 as a decimal, null apart from the empty text."""
+    c = T._c(c)
+    h = F.md5(F.when(c.isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), c)))
+    return F.conv(F.substring(h, 1, 15), 16, 10).cast("decimal(20,0)")
 
 
-def run_set_audit(ledger: DataFrame, file_col: str = "run") -> DataFrame:
-    """Per run: rows, prediction/source fingerprints, missing predictions,
+def run_set_audit(ledger: DataFrame, file_col: str = "run", pair_col: str | None = None) -> DataFrame:
+    """Per run: rows, prediction/source fingerprints (decimals as text), missing predictions,
     and the first other run with identical predictions (a duplicate run): the
-    smallest or second smallest of its fingerprint, without pairing runs."""
+    smallest or second smallest of its fingerprint, without pairing runs.
+    With ``pair_col``, ``wrong_pair`` tells that runs of another language pair
+    have the same source texts, so one of them holds the wrong pair's input."""
+    pair = [F.min(pair_col).alias("_pair")] if pair_col else []
     per = ledger.groupBy(file_col).agg(
         F.count(F.lit(1)).alias("n_rows"),
-        F.sum(fingerprint("prediction")).alias("pred_fp"),
-        F.sum(fingerprint("source")).alias("src_fp"),
+        F.sum(fingerprint("prediction")).cast("string").alias("pred_fp"),
+        F.sum(fingerprint("source")).cast("string").alias("src_fp"), *pair,
         F.count_if(F.col("prediction").isNull() | (T.py_strip("prediction") == "")).alias("n_missing"))
+    if pair_col:
+        pairs = per.groupBy("src_fp", "n_rows").agg((F.min("_pair") != F.max("_pair")).alias("wrong_pair"))
+        per = per.join(pairs, ["src_fp", "n_rows"]).drop("_pair")
     same = ["pred_fp", "n_rows"]
     first = per.groupBy(*same).agg(F.min(file_col).alias("_first"))
     known = per.join(first, same)

@@ -14,7 +14,7 @@ Arrow UDF and are summed with built-in aggregates.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -24,6 +24,8 @@ from pyspark.sql import types as T_
 from ..functions import text as T
 
 MAX_N = 4
+#: Parts that a hot key's rows are split into where they join a small table.
+SALTS = 32
 # The BLEU configuration string reported with the score.
 BLEU_SIGNATURE = "nrefs:1|case:mixed|eff:no|tok:13a|smooth:exp"
 
@@ -169,12 +171,22 @@ def _ter_udf(hyp: pd.Series, ref: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["edits", "ref_words"])
 
 
-@F.pandas_udf(_MET_T)
-def _meteor_udf(hyp: pd.Series, ref: pd.Series) -> pd.DataFrame:
-    from .meteor import meteor_stats
-    out = [meteor_stats(list(h) if h is not None else [], list(r) if r is not None else [])
-           for h, r in zip(hyp, ref)]
-    return pd.DataFrame(out, columns=["matches", "hyp_words", "ref_words", "chunks", "score"])
+@F.pandas_udf(T_.LongType())
+def _distance_udf(hyp: pd.Series, ref: pd.Series) -> pd.Series:
+    from .ter import edit_distance
+    return pd.Series([edit_distance(list(h) if h is not None else [], list(r) if r is not None else [])
+                      for h, r in zip(hyp, ref)], dtype="int64")
+
+
+def _meteor_udf(stages: str, synonyms: Mapping[str, frozenset] | None):
+    @F.pandas_udf(_MET_T)
+    def run(hyp: pd.Series, ref: pd.Series) -> pd.DataFrame:
+        from .meteor import meteor_stats, porter_stem
+        stem = porter_stem if "stem" in stages else str
+        out = [meteor_stats(list(h) if h is not None else [], list(r) if r is not None else [], synonyms, stem)
+               for h, r in zip(hyp, ref)]
+        return pd.DataFrame(out, columns=["matches", "hyp_words", "ref_words", "chunks", "score"])
+    return run
 
 
 def ter_segments(df: DataFrame, hyp: str = "prediction", ref: str = "target") -> DataFrame:
@@ -193,19 +205,30 @@ def corpus_ter(df: DataFrame, group: Sequence[str] = ("system",),
     return g.withColumn("ter", score * 100.0)
 
 
-def meteor_segments(df: DataFrame, hyp: str = "prediction", ref: str = "target") -> DataFrame:
-    """Per-segment METEOR statistics (exact + Porter stem stages)."""
-    return df.withColumn("_met", _meteor_udf(T.ws_tokens(hyp), T.ws_tokens(ref))) \
+def edit_distances(df: DataFrame, hyp: str = "prediction", ref: str = "target") -> DataFrame:
+    """Per-segment word edit distance without shifts, on TER's tokens: an upper bound of TER's edits."""
+    return df.withColumn("edit_distance", _distance_udf(T.tokenize_ter(hyp), T.tokenize_ter(ref)))
+
+
+def meteor_segments(df: DataFrame, hyp: str = "prediction", ref: str = "target", stages: str = "exact+stem",
+                    synonyms: Mapping[str, frozenset] | None = None) -> DataFrame:
+    """Per-segment METEOR statistics: the exact stage, with ``stages='exact+stem'`` the stem stage
+    (the 1980 Porter rules), and with ``synonyms`` (word -> names of its synonym sets; it is sent to the
+    tasks with the code, so it is of a dictionary's size, not of the data's) the synonym stage."""
+    if stages not in ("exact", "exact+stem"):
+        raise ValueError(f"unknown METEOR stages: {stages}")
+    return df.withColumn("_met", _meteor_udf(stages, synonyms)(T.ws_tokens(hyp), T.ws_tokens(ref))) \
              .select(*df.columns, "_met.*")
 
 
 def mean_meteor(df: DataFrame, group: Sequence[str] = ("system",),
-                hyp: str = "prediction", ref: str = "target") -> DataFrame:
-    """Mean segment METEOR per group (0.0 for an empty group)."""
-    s = meteor_segments(df, hyp, ref)
+                hyp: str = "prediction", ref: str = "target",
+                synonyms: Mapping[str, frozenset] | None = None) -> DataFrame:
+    """Mean segment METEOR per group (no row for an empty group)."""
+    s = meteor_segments(df, hyp, ref, synonyms=synonyms)
     return s.groupBy(*group).agg(F.coalesce(F.avg("score"), F.lit(0.0)).alias("meteor"),
                                  F.count(F.lit(1)).alias("segments")) \
-            .withColumn("meteor_variant", F.lit("exact+stem"))
+            .withColumn("meteor_variant", F.lit("exact+stem+synonym" if synonyms else "exact+stem"))
 
 
 # ---- COMET roll-up and record building ----------------------------------------
@@ -214,11 +237,16 @@ def comet_rollup(df: DataFrame, group: Sequence[str] = ("system",),
                  seg: str = "comet_score_segment") -> DataFrame:
     """A9 + P6: system score = mean segment score, attached to every row.
 
-    The per-system table is an aggregate (map-side partial); AQE sees its
-    real size and broadcasts it for the join back.
+    The per-system table is an aggregate (map-side partial). Systems are few
+    and so hot keys of the join back: rows are salted by their content and the
+    scores repeated per salt, so no task gets a whole system even where the
+    join is not turned into a broadcast. Rows with a null key get no score.
     """
-    sys_scores = df.groupBy(*group).agg(F.avg(seg).alias("comet_score_system"))
-    return df.join(sys_scores, list(group), "left")
+    sys_scores = df.groupBy(*group).agg(F.avg(seg).alias("comet_score_system")) \
+                   .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in df.columns]),
+                                           F.lit(SALTS)).cast("int"))
+    return salted.join(sys_scores, [*group, "_salt"], "left").drop("_salt")
 
 
 def comet_triples(df: DataFrame) -> DataFrame:

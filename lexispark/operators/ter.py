@@ -165,6 +165,18 @@ def _best_shift(hyp, ref, lev: _Levenshtein):
     return best[0][0], best[1]
 
 
+def edit_distance(hyp_words: list[str], ref_words: list[str]) -> int:
+    """Word insertions, deletions and substitutions that turn one into the other."""
+    if not ref_words:
+        return len(hyp_words)
+    ids: dict[str, int] = {}
+    lev = _Levenshtein([ids.setdefault(w, len(ids)) for w in ref_words])
+    state = lev.start()
+    for w in hyp_words:
+        state = lev.step(state, ids.get(w, -1))
+    return state[2]
+
+
 def ter_counts(hyp_words: list[str], ref_words: list[str]) -> tuple[int, int]:
     """(edits, reference length) for one segment."""
     if not ref_words:

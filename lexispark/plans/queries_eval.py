@@ -71,6 +71,36 @@ def q_corpus_ter(spark, sf):
     return M.corpus_ter(fx.mt(spark, sf), ["system"])
 
 
+# One character per distinct word of a segment, then a character edit distance.
+_TER_CHARS = f"""tk as (select id, system, {O.tokens("lower(coalesce(prediction, ''))")} as h,
+  {O.tokens("lower(coalesce(target, ''))")} as r from mt),
+ch as (select id, system, h, r, list_distinct(list_concat(h, r)) as v from tk)"""
+
+
+@register("ter_edit_distance", O.with_(O.MT_SQL, _TER_CHARS)
+          + "select id, system, cast(levenshtein(array_to_string([chr(list_position(v, x)::int) for x in h], ''), "
+            "array_to_string([chr(list_position(v, x)::int) for x in r], '')) as bigint) as edit_distance from ch")
+def q_ter_edit_distance(spark, sf):
+    return M.edit_distances(fx.mt(spark, sf)).select("id", "system", "edit_distance")
+
+
+# The exact stage pairs the k-th last occurrence of a word with the k-th last in the reference.
+_METEOR_EXACT = """hw as (select id, system, unnest(range(len(h))) as p, unnest(h) as w from tk),
+rw as (select id, system, unnest(range(len(r))) as p, unnest(r) as w from tk),
+hk as (select *, row_number() over (partition by id, system, w order by p desc) as k from hw),
+rk as (select *, row_number() over (partition by id, system, w order by p desc) as k from rw),
+al as (select hk.id, hk.system, hk.p as hp, rk.p as rp from hk join rk using (id, system, w, k)),
+st as (select *, lag(hp) over w as hp0, lag(rp) over w as rp0 from al window w as (partition by id, system order by hp)),
+ct as (select id, system, count(*) as m, sum(case when hp0 + 1 = hp and rp0 + 1 = rp then 0 else 1 end) as c from st group by all)"""
+
+
+@register("meteor_exact", O.with_(O.MT_SQL, _TER_CHARS, _METEOR_EXACT)
+          + "select id, system, cast(coalesce(m, 0) as bigint) as matches, cast(len(h) as bigint) as hyp_words, "
+            "cast(len(r) as bigint) as ref_words, cast(coalesce(c, 0) as bigint) as chunks from tk left join ct using (id, system)")
+def q_meteor_exact(spark, sf):
+    return M.meteor_segments(fx.mt(spark, sf), stages="exact").select("id", "system", "matches", "hyp_words", "ref_words", "chunks")
+
+
 @register("mean_meteor")
 def q_mean_meteor(spark, sf):
     return M.mean_meteor(fx.mt(spark, sf), ["system"])

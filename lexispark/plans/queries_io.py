@@ -102,17 +102,19 @@ _DICT_TXT = """case when ord % 10 = 0 then '{''de'': ''' || source
 
 @register("dict_literal_parse", O.with_(O.KW_SQL) + """
 select ord, case when ord % 10 = 0 then null else source end as source,
-  case when ord % 10 = 0 then null when ord % 10 = 1 then '' else target end as target
+  case when ord % 10 in (0, 3) then null when ord % 10 = 1 then '' when ord % 10 = 2 then target || chr(160) || 'None' else target end as target
 from kw""")
 def q_dict_literal_parse(spark, sf):
     kw = fx.kw(spark, sf)
     k = F.col("ord") % 10
     txt = (F.when(k == 0, F.concat(F.lit("{'de': '"), "source"))
            .when(k == 1, F.concat(F.lit("{'de': '"), "source", F.lit("'}")))
+           .when(k == 2, F.concat(F.lit("{'de': '"), "source", F.lit("', 'en': '"), "target", F.lit("\\xa0None'}")))
+           .when(k == 3, F.concat(F.lit("{'en': None, 'de': '"), "source", F.lit("'}")))
            .otherwise(F.concat(F.lit("{'de': '"), "source", F.lit("', 'en': '"), "target", F.lit("'}"))))
     m = io.parse_dict_literal(txt)
     get = lambda key: F.when(m.isNull(), F.lit(None)).otherwise(
-        F.coalesce(F.try_element_at(m, F.lit(key)), F.lit("")))
+        F.when(F.map_contains_key(m, key), F.try_element_at(m, F.lit(key))).otherwise(""))
     return kw.select("ord", get("de").alias("source"), get("en").alias("target"))
 
 
@@ -142,7 +144,27 @@ def q_glob_per_file_topk(spark, sf):
 @register("file_provenance", O.with_(O.KW_SQL)
           + "select ord, tgt_lang || '_cands.csv' as file from kw")
 def q_file_provenance(spark, sf):
-    return _read_cands(spark, _cand_files(spark, sf)).select("ord", "file")
+    d = io.read_csv(spark, f"{_cand_files(spark, sf)}/file=*_cands.csv", KW_SCHEMA, with_ord=False, with_file=True)
+    return d.select("ord", F.regexp_extract("file_path", "/file=([^/]+)/[^/]+$", 1).alias("file"))
+
+
+@register("csv_input_order", O.with_(O.KW_SQL)
+          + """select ord, row_number() over (order by case when ord % 10 = 0 then 0 else 1 end, ord) - 1 as position from kw""")
+def q_csv_input_order(spark, sf):
+    """A short file, then one nine times as long, each sorted: positions follow the paths and the rows in them."""
+    kw, path = fx.kw(spark, sf), scratch_path(spark, "ordered")
+    for name, rows in (("a", F.col("ord") % 10 == 0), ("b", F.col("ord") % 10 != 0)):
+        io.write_table(kw.where(rows).orderBy("ord"), f"{path}/{name}.csv", fmt="csv")
+    schema = T_.StructType([T_.StructField("n", T_.LongType()), *KW_SCHEMA.fields[1:]])
+    d = io.read_csv(spark, f"{path}/*.csv", schema)
+    return io.positional_id(d.select("n", "ord"), ["ord"], "position").select(F.col("n").alias("ord"), "position")
+
+
+@register("empty_glob_union", O.with_(O.KW_SQL) + "select * from kw")
+def q_empty_glob_union(spark, sf):
+    path = _cand_files(spark, sf)
+    found = io.read_csv(spark, f"{path}/file=*_cands.csv", KW_SCHEMA, with_ord=False)
+    return found.unionByName(io.read_csv(spark, f"{path}/file=*_none.csv", KW_SCHEMA, with_ord=False))
 
 
 @register("derived_output_name", O.with_(O.KW_SQL, _FILE_TRIM)
@@ -237,63 +259,62 @@ FAMILY = {"sysA": ("mBART-50", "mbart50"), "sysB": ("M2M100", "m2m100")}
 PAIRS = ["de_en", "de_nl", "en_nl"]
 
 
+def _result_files() -> list[tuple[str, str, int, list[str], str, str, str, str]]:
+    """One result file per (system, pair) in its layout, a misfiled copy, one whose
+    name has two-part variant and whose input is another pair's, and one without
+    pair folder and variant: (path, system, remainder, columns, family, pair, folder pair, variant)."""
+    out = []
+    for fi, (sysname, (fam, prefix)) in enumerate(sorted(FAMILY.items())):
+        for pi, pair in enumerate(PAIRS):
+            cols = LAYOUTS[(fi * 3 + pi) % 4]
+            out.append((f"{fam}/{pair}/{prefix}_{pair}_baseline_eval.csv", sysname, pi, cols, fam, pair, pair, "baseline"))
+            if sysname == "sysB" and pair == "en_nl":
+                out.append((f"{fam}/de_nl/{prefix}_en_nl_pre_eval.csv", sysname, pi, cols, fam, pair, "de_nl", "pre"))
+    out.append(("mBART-50/de_nl/mbart50_de_nl_sv_up_eval.csv", "sysB", 0, LAYOUTS[0], "mBART-50", "de_nl", "de_nl", "sv_up"))
+    out.append(("Flat_7b/flat_7b_de_nl_eval.csv", "sysA", 1, LAYOUTS[3], "Flat_7b", "de_nl", "", ""))
+    return out
+
+
 def _write_results(spark, sf) -> list[str]:
-    """One result file per (system, pair) in its layout, plus a misfiled copy."""
     m = fx.mt(spark, sf).withColumn("comet_score_system", F.col("comet_score_segment")) \
                         .withColumn("input", F.col("source"))
     root = scratch_path(spark, "results")
-    paths = []
-    for fi, (sysname, (fam, prefix)) in enumerate(sorted(FAMILY.items())):
-        for pi, pair in enumerate(PAIRS):
-            cols = LAYOUTS[(fi * 3 + pi) % 4]
-            part = m.where((F.col("system") == sysname) & (F.col("id") % 3 == pi))
-            p = f"{root}/{fam}/{pair}/{prefix}_{pair}_baseline_eval.csv"
-            io.write_table(part.select(*cols), p, fmt="csv")
-            paths.append(p)
-            if sysname == "sysB" and pair == "en_nl":   # misfiled duplicate run
-                p2 = f"{root}/{fam}/de_nl/{prefix}_en_nl_pre_eval.csv"
-                io.write_table(part.select(*cols), p2, fmt="csv")
-                paths.append(p2)
-    return paths
+    for path, system, rest, cols, *_ in _result_files():
+        io.write_table(m.where((F.col("system") == system) & (F.col("id") % 3 == rest)).select(*cols), f"{root}/{path}", fmt="csv")
+    return [f"{root}/{f[0]}" for f in _result_files()]
 
 
 def _ledger_sql() -> str:
     rows = []
-    for fi, (sysname, (fam, prefix)) in enumerate(sorted(FAMILY.items())):
-        for pi, pair in enumerate(PAIRS):
-            cols = LAYOUTS[(fi * 3 + pi) % 4]
-            id_c = "id" if "id" in cols else "cast(null as bigint)"
-            cs = "comet_score_segment" if "comet_score_system" in cols else "cast(null as double)"
-            sel = (f"select '{fam}' as family, '{pair}' as pair, '{{v}}' as variant, {id_c} as id, "
-                   f"source, target, prediction, {cs} as comet_score_system from mt "
-                   f"where system = '{sysname}' and id % 3 = {pi}")
-            rows.append(sel.format(v="baseline"))
-            if sysname == "sysB" and pair == "en_nl":
-                rows.append(sel.replace(f"'{pair}' as pair", "'de_nl' as pair").format(v="pre"))
+    for _, system, rest, cols, family, pair, folder, variant in _result_files():
+        id_c = "id" if "id" in cols else "cast(null as bigint)"
+        cs = "comet_score_segment" if "comet_score_system" in cols else "cast(null as double)"
+        rows.append(f"select '{family}' as family, '{pair}' as pair, '{folder}' as folder_pair, '{variant}' as variant, {id_c} as id, "
+                    f"source, target, prediction, {cs} as comet_score_system from mt where system = '{system}' and id % 3 = {rest}")
     return "ledger as (" + "\nunion all\n".join(rows) + ")"
 
 
 @register("result_ledger", O.with_(O.MT_SQL, _ledger_sql())
-          + "select family, pair, variant, id, source, target, prediction, comet_score_system from ledger")
+          + "select family, pair, folder_pair, variant, id, source, target, prediction, comet_score_system from ledger")
 def q_result_ledger(spark, sf):
     led = ledger.read_result_files(spark, _write_results(spark, sf))
-    return led.select("family", "pair", "variant", F.col("id").cast("long").alias("id"), "source",
-                      "target", "prediction", F.col("comet_score_system").cast("double").alias("comet_score_system"))
+    return led.select("family", "pair", "folder_pair", "variant", "id", "source", "target", "prediction", "comet_score_system")
 
 
 def _fp(x: str) -> str:
-    return f"cast('0x' || substr(md5(coalesce({x}, '')), 1, 8) as bigint)"
+    return f"cast('0x' || substr(md5(coalesce('=' || {x}, 'null')), 1, 15) as bigint)"
 
 
 @register("run_set_audit", O.with_(O.MT_SQL, _ledger_sql()) + f""",
-per as (select family || '/' || pair || '/' || variant as run, count(*) as n_rows,
-               cast(sum({_fp('prediction')}) as bigint) as pred_fp, cast(sum({_fp('source')}) as bigint) as src_fp,
+per as (select family || '/' || pair || '/' || variant as run, min(pair) as pair, count(*) as n_rows,
+               cast(sum({_fp('prediction')}) as varchar) as pred_fp, cast(sum({_fp('source')}) as varchar) as src_fp,
                cast(sum(case when prediction is null or {O.strip('prediction')} = '' then 1 else 0 end) as bigint) as n_missing
         from ledger group by all)
 select a.run, a.n_rows, a.pred_fp, a.src_fp, a.n_missing,
-  (select min(b.run) from per b where b.pred_fp = a.pred_fp and b.n_rows = a.n_rows and b.run <> a.run) as duplicate_of
+  (select min(b.run) from per b where b.pred_fp = a.pred_fp and b.n_rows = a.n_rows and b.run <> a.run) as duplicate_of,
+  exists (select 1 from per b where b.src_fp = a.src_fp and b.n_rows = a.n_rows and b.pair <> a.pair) as wrong_pair
 from per a""")
 def q_run_set_audit(spark, sf):
     led = ledger.read_result_files(spark, _write_results(spark, sf))
     led = led.withColumn("run", F.concat_ws("/", "family", "pair", "variant"))
-    return ledger.run_set_audit(led, "run")
+    return ledger.run_set_audit(led, "run", "pair")

@@ -1,9 +1,10 @@
 """Sources and sinks (S1-S7, K1-K3), schema work (P1-P5, P7) and row order.
 
 DataFrames are unordered, so the reference's semantic row order becomes an
-explicit ``ord`` column made once at the scan: ``monotonically_increasing_id``
-is increasing in file/split order; ``positional_id`` turns any total order
-into dense 0..n-1 positions without a single-task window.
+explicit ``ord`` column made once at the scan: ``(file path, block start, row)``,
+a struct that sorts as the files' rows do, whatever order the reader packs its
+splits in; ``positional_id`` turns any total order into dense 0..n-1 positions
+without a single-task window.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T_
@@ -32,7 +34,10 @@ def read_csv(spark: SparkSession, paths: str | Sequence[str], schema: T_.StructT
     """Comma CSV with header; ``"`` doubled inside quotes is decoded.
 
     ``missing='pandas'`` turns pandas' NA words into null in string columns.
-    An explicit schema is the default at scale (no inference pass).
+    An explicit schema is the default at scale (no inference pass). A pattern
+    that matches no file gives an empty frame then; without a schema, and for a
+    plain path that does not exist, Spark's error stays. ``ord`` sorts rows by
+    file path and by their place in the file.
     """
     r = (spark.read.option("header", True).option("quote", '"').option("escape", '"')
          .option("multiLine", multiline).option("mode", "FAILFAST"))
@@ -42,7 +47,18 @@ def read_csv(spark: SparkSession, paths: str | Sequence[str], schema: T_.StructT
         r = r.schema(schema)
     else:
         r = r.option("inferSchema", True)
-    df = r.csv(paths if isinstance(paths, str) else list(paths))
+    listed = [paths] if isinstance(paths, str) else list(paths)
+    try:
+        df = r.csv(listed)
+    except AnalysisException as e:
+        pattern = all(re.search(r"[*?\[{]", p) for p in listed)
+        if e.getCondition() != "PATH_NOT_FOUND" or schema is None or not pattern:
+            raise
+        return _no_rows(spark, schema, with_file, with_ord)
+    if with_ord:
+        df = df.withColumn("ord", F.struct(F.col("_metadata.file_path").alias("path"),
+                                           F.col("_metadata.file_block_start").alias("block"),
+                                           F.monotonically_increasing_id().alias("row")))
     if with_file:
         df = df.withColumn("file_path", F.col("_metadata.file_path")) \
                .withColumn("file", F.col("_metadata.file_name"))
@@ -50,8 +66,16 @@ def read_csv(spark: SparkSession, paths: str | Sequence[str], schema: T_.StructT
         df = df.select(*[T.na_to_null(F.col(f"`{f.name}`")).alias(f.name)
                          if isinstance(f.dataType, T_.StringType) else F.col(f"`{f.name}`")
                          for f in df.schema.fields])
+    return df
+
+
+def _no_rows(spark: SparkSession, schema: T_.StructType | str, with_file: bool, with_ord: bool) -> DataFrame:
+    """What ``read_csv`` gives for no file at all."""
+    df = spark.createDataFrame([], schema)
     if with_ord:
-        df = df.withColumn("ord", F.monotonically_increasing_id())
+        df = df.withColumn("ord", F.lit(None).cast("struct<path: string, block: bigint, row: bigint>"))
+    for c in ("file_path", "file") if with_file else ():
+        df = df.withColumn(c, F.lit(None).cast("string"))
     return df
 
 
@@ -124,10 +148,23 @@ def flatten_bitext(df: DataFrame, src: str = "de", tgt: str = "en",
     return df.withColumn("source", get(src)).withColumn("target", get(tgt)).drop(col)
 
 
-def parse_dict_literal(c) -> Column:
-    """P10: Python dict-literal text -> map<string,string>; malformed -> null."""
-    return F.from_json(T._c(c), "map<string,string>",
-                       {"allowSingleQuotes": "true", "mode": "PERMISSIVE"})
+def parse_dict_literal(c, malformed: str = "null") -> Column:
+    """P10: Python dict-literal text -> map<string,string>.
+
+    ``\\xNN`` escapes and bare ``None`` values are read as Python writes them.
+    Malformed text gives null, for the caller to reject, or with
+    ``malformed='raise'`` an error.
+    """
+    c = T._c(c)
+    text = F.regexp_replace(c, r"(?<!\\)((?:\\\\)*)\\x([0-9a-fA-F]{2})", r"$1\\u00$2")
+    # strings are passed over whole, so only a None outside them is replaced
+    none = r"""\G((?:[^'"N]++|'(?:[^'\\]++|\\.)*+'|"(?:[^"\\]++|\\.)*+")*+)None"""
+    text = F.when(text.contains("None"), F.regexp_replace(text, none, "$1null")).otherwise(text)
+    parsed = F.from_json(text, "map<string,string>", {"allowSingleQuotes": "true", "mode": "PERMISSIVE",
+                                                      "allowBackslashEscapingAnyCharacter": "true"})
+    if malformed == "raise":
+        return F.when(c.isNotNull() & parsed.isNull(), F.raise_error(F.concat(F.lit("no dict literal: "), c))).otherwise(parsed)
+    return parsed
 
 
 def read_aligned_benchmark(spark: SparkSession, path: str, src_code: str, tgt_code: str,

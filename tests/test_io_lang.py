@@ -101,3 +101,28 @@ def test_a_missing_volume_prints_all_volumes_as_float(spark):
                                 "ord long, Keyword string, Volume long, `SERP Features` string, Intents string")
     out = sorted(r.input for r in bitext.build_parallel(src, src, missing="pandas").collect())
     assert out == ["Keyword: a | Volume: 590.0 | SERP: s | Intents: i", "Keyword: b | Volume: nan | SERP: s | Intents: i"]
+
+
+def test_csv_order_follows_paths_and_rows(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("n\n" + "\n".join(str(i) for i in range(3)) + "\n")
+    (tmp_path / "b.csv").write_text("n\n" + "\n".join(str(i) for i in range(3, 4003)) + "\n")
+    d = io.read_csv(spark, f"{tmp_path}/*.csv", "n long")
+    assert [r.n for r in d.orderBy("ord").collect()] == list(range(4003))
+
+
+def test_unmatched_glob_is_empty_only_with_a_schema(spark, tmp_path):
+    d = io.read_csv(spark, f"{tmp_path}/*.csv", "n long, t string", with_file=True)
+    assert d.columns == ["n", "t", "ord", "file_path", "file"] and d.count() == 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        io.read_csv(spark, f"{tmp_path}/*.csv")
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        io.read_csv(spark, f"{tmp_path}/plain.csv", "n long")
+
+
+def test_dict_literal_as_python_prints_it(spark):
+    import ast
+    texts = [repr({"de": "a\xa0b", "en": None}), repr({"de": "it's: None, \"so\"", "en": "\\x41"}), repr({"en": "None", "de": "N'one"})]
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r.m for r in d.select(io.parse_dict_literal("t").alias("m")).collect()] == [ast.literal_eval(t) for t in texts]
+    with pytest.raises(Exception, match="no dict literal"):
+        spark.createDataFrame([("{'de': ",)], "t string").select(io.parse_dict_literal("t", "raise")).collect()

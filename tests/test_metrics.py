@@ -120,3 +120,32 @@ def test_ter_of_a_long_shuffled_segment_ends_soon():
     assert n == 200 and 0 < edits < 200 and time.monotonic() - start < 30
     moved = ref[50:58] + ref[:50] + ref[58:]
     assert ter_counts(moved, ref) == (1, 200)
+
+
+def test_edit_distance_against_the_plain_recurrence():
+    import random
+    from lexispark.operators.ter import edit_distance
+    rng = random.Random(3)
+    for _ in range(300):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randrange(9))] for _ in range(2))
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(row[-1] + 1, last[j] + 1, last[j - 1] + (x != y)))
+        assert edit_distance(a, b) == row[-1]
+
+
+def test_meteor_stages(spark):
+    d = spark.createDataFrame([("s", 1, "a", "big dogs", "large dog", 0.1)], "system string, id long, source string, prediction string, target string, x double")
+    sets = {"big": frozenset({"size"}), "large": frozenset({"size"})}
+    assert M.meteor_segments(d, stages="exact").first().matches == 0
+    assert M.meteor_segments(d).first().matches == 1
+    assert M.meteor_segments(d, synonyms=sets).first().matches == 2
+    assert M.mean_meteor(d, synonyms=sets).first().meteor_variant == "exact+stem+synonym"
+
+
+def test_rollup_keeps_repeated_rows_and_null_systems(spark):
+    rows = [("a", 1.0)] * 50 + [("a", 3.0)] * 50 + [(None, 2.0)] * 5
+    out = M.comet_rollup(spark.createDataFrame(rows, "system string, comet_score_segment double")).collect()
+    assert len(out) == 105 and all(r.comet_score_system == (2.0 if r.system else None) for r in out)
