@@ -71,15 +71,18 @@ def q_corpus_ter(spark, sf):
     return M.corpus_ter(fx.mt(spark, sf), ["system"])
 
 
-# One character per distinct word of a segment, then a character edit distance.
-_TER_CHARS = f"""tk as (select id, system, {O.tokens("lower(coalesce(prediction, ''))")} as h,
-  {O.tokens("lower(coalesce(target, ''))")} as r from mt),
-ch as (select id, system, h, r, list_distinct(list_concat(h, r)) as v from tk)"""
-
-
-@register("ter_edit_distance", O.with_(O.MT_SQL, _TER_CHARS)
-          + "select id, system, cast(levenshtein(array_to_string([chr(list_position(v, x)::int) for x in h], ''), "
-            "array_to_string([chr(list_position(v, x)::int) for x in r], '')) as bigint) as edit_distance from ch")
+_TER_TOKENS = f"""tk as (select id, system, {O.tokens("lower(coalesce(prediction, ''))")} as h,
+  {O.tokens("lower(coalesce(target, ''))")} as r from mt)"""
+# One row of the distance table per step; a running minimum stands for the insertions.
+_TER_TABLE = """dp as (select id, system, h, r, 0 as i, range(len(r) + 1) as d from tk
+  union all
+  select id, system, h, r, i + 1, list_transform(range(len(r) + 1), lambda j: j + list_min(list_transform(range(j + 1),
+    lambda k: case when k = 0 then d[1] + 1 else least(d[k + 1] + 1, d[k] + (h[i + 1] <> r[k])::int) - k end)))
+  from dp where i < len(h))"""
+
+
+@register("ter_edit_distance", O.with_(O.MT_SQL, _TER_TOKENS, _TER_TABLE).replace("with ", "with recursive ", 1)
+          + "select id, system, cast(d[len(r) + 1] as bigint) as edit_distance from dp where i = len(h)")
 def q_ter_edit_distance(spark, sf):
     return M.edit_distances(fx.mt(spark, sf)).select("id", "system", "edit_distance")
 
@@ -94,7 +97,7 @@ st as (select *, lag(hp) over w as hp0, lag(rp) over w as rp0 from al window w a
 ct as (select id, system, count(*) as m, sum(case when hp0 + 1 = hp and rp0 + 1 = rp then 0 else 1 end) as c from st group by all)"""
 
 
-@register("meteor_exact", O.with_(O.MT_SQL, _TER_CHARS, _METEOR_EXACT)
+@register("meteor_exact", O.with_(O.MT_SQL, _TER_TOKENS, _METEOR_EXACT)
           + "select id, system, cast(coalesce(m, 0) as bigint) as matches, cast(len(h) as bigint) as hyp_words, "
             "cast(len(r) as bigint) as ref_words, cast(coalesce(c, 0) as bigint) as chunks from tk left join ct using (id, system)")
 def q_meteor_exact(spark, sf):
