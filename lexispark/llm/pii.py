@@ -4,7 +4,9 @@ Patterns propose spans; Luhn and mod-97 confirm them; words near a span raise
 or lower its score. Positions come from the pieces between the matches
 (``split``), so a text is scanned a fixed number of times per kind. The
 patterns use possessive repeats and start only where a run starts: they match
-what their plain forms match, in linear time and constant stack.
+what their plain forms match, in linear time and constant stack. Of an IBAN
+the pattern proposes the head only; where it ends is for its check digits to
+say, among the places where a group ends.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ KINDS = (
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", 0.8, r"\bip\b|host|server|address", r"[0-9]\.[0-9]"),
     Kind("card", r"[0-9](?:[\x20-]?+[0-9])++", 0.8, "card|visa|credit|payment", "[0-9]{2}|[0-9][ -][0-9]"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", 0.8, "phone|tel|call|mobile|fax", r"\+[0-9]"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?+[A-Z0-9]){11,30}+(?![A-Za-z0-9])", 0.6, "iban|bank|account",
+    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?:\x20?+[A-Z0-9]){11})", 0.6, "iban|bank|account",
          "[A-Z]{2}[0-9]{2}"),
     Kind("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", 0.3,
          r"\bssn\b|social security|tax id", "[0-9]-[0-9]"),
@@ -45,6 +47,14 @@ BASE_KINDS = ("email", "ip", "card", "phone")
 #: A span counts from this score on; a context word adds, a word of these lowers the score of kinds beyond the base.
 THRESHOLD, NEARBY, BONUS = 0.5, 40, 0.3
 AGAINST = "order|invoice|serial|version|build"
+#: What may follow an IBAN's head: up to 30 characters, a space before each.
+_IBAN_REST, _IBAN_REACH = r"^(?:\x20?+[A-Z0-9]){11,30}+", 60
+#: Registered lengths, without spaces; they only choose among several prefixes that pass mod-97.
+_IBAN_LENGTHS = (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 "
+    "FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 "
+    "LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 "
+    "SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30")
 
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 
@@ -79,31 +89,56 @@ def _confirmed(kind: str, m: Column) -> Column:
         return F.when(n.between(14, 19), luhn(_digits(m))).otherwise(False)
     if kind == "phone":
         return F.length(_digits(m)).between(10, 15)
-    if kind == "iban":
-        return F.when(F.length(F.regexp_replace(m, " ", "")).between(15, 34), mod97(m)).otherwise(False)
     return F.lit(True)
 
 
+def _iban(head: Column, after: Column) -> Column:
+    """The IBAN that ``head`` begins, null if none: of the prefixes that end with a group and pass mod-97 the one of the
+    country's length, else the longest."""
+    run = F.concat(head, F.regexp_extract(after, _IBAN_REST, 0))
+    past = F.concat(head, after)
+
+    def plain(p: Column) -> Column:
+        return F.regexp_replace(F.substring(run, F.lit(1), p), " ", "")
+
+    ends = F.filter(F.sequence(F.lit(15), F.greatest(F.lit(15), F.length(run))), lambda p: (
+        F.substring(past, p, F.lit(2)).rlike(r"^[A-Z0-9](?![A-Za-z0-9])") & F.length(plain(p)).between(15, 34)
+        & mod97(plain(p))))
+    best = F.array_max(F.transform(ends, lambda p: F.struct(
+        F.contains(F.lit(_IBAN_LENGTHS), F.concat(F.substring(head, 1, 2), F.length(plain(p)).cast("string"))).alias("usual"),
+        p.alias("p"))))
+    return F.substring(run, F.lit(1), best["p"])
+
+
 _EMPTY = "array<struct<start:int,end:int,kind:int,score:double>>"
 
 
 def _spans(text: Column, order: int) -> Column:
     """The accepted spans of one kind; start and end in code points, end exclusive."""
     k = KINDS[order]
+    reach = NEARBY + (_IBAN_REACH if k.name == "iban" else 0)
     found = F.regexp_extract_all(text, F.lit(k.pattern), F.lit(0))
-    between = F.split(text, k.pattern, -1)
-    # running position: each match starts after the pieces and matches before it
-    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,m:string,before:string,after:string>>").alias("out"))
-
-    def step(acc: Column, i: Column) -> Column:
-        m = F.element_at(found, i)
-        start = acc["at"] + F.length(F.element_at(between, i))
-        item = F.struct(start.alias("start"), m.alias("m"), F.right(F.element_at(between, i), F.lit(NEARBY)).alias("before"),
-                        F.left(F.element_at(between, i + 1), F.lit(NEARBY)).alias("after"))
-        keep = F.when(_confirmed(k.name, m), F.concat(acc["out"], F.array(item))).otherwise(acc["out"])
-        return F.struct((start + F.length(m)).alias("at"), keep.alias("out"))
-
-    placed = F.aggregate(F.sequence(F.lit(1), F.size(found)), state, step, lambda acc: acc["out"])
+    # what follows each match, whatever matches there
+    after = F.regexp_extract_all(text, F.lit(rf"(?:{k.pattern})(?=((?s:.{{0,{reach}}})))"), F.lit(1))
+    between = F.slice(F.split(text, k.pattern, -1), F.lit(1), F.size(found))
+    rows = F.transform(F.arrays_zip(between.alias("gap"), found.alias("m"), after.alias("after")), lambda x: F.struct(
+        x["gap"].alias("gap"), x["m"].alias("m"), x["after"].alias("after"),
+        (_iban(x["m"], x["after"]) if k.name == "iban" else F.when(_confirmed(k.name, x["m"]), x["m"])).alias("whole")))
+    # running position, and where the last accepted match ends
+    state = F.struct(F.lit(0).alias("at"), F.lit(0).alias("end"),
+                     F.array().cast("array<struct<start:int,m:string,before:string,after:string>>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + F.length(x["gap"])
+        before = F.right(x["gap"], F.lit(NEARBY))
+        rest = F.substring(x["after"], F.length(x["whole"]) - F.length(x["m"]) + 1, F.lit(NEARBY))
+        item = F.struct(start.alias("start"), x["whole"].alias("m"), before.alias("before"), rest.alias("after"))
+        good = x["whole"].isNotNull() & (start >= acc["end"])
+        return F.struct((start + F.length(x["m"])).alias("at"),
+                        F.when(good, start + F.length(x["whole"])).otherwise(acc["end"]).alias("end"),
+                        F.when(good, F.concat(acc["out"], F.array(item))).otherwise(acc["out"]).alias("out"))
+
+    placed = F.aggregate(rows, state, step, lambda acc: acc["out"])
 
     def scored(x: Column) -> Column:
         near = F.lower(F.concat_ws(" ", x["before"], x["after"]))
