@@ -124,17 +124,17 @@ def _spans(text: Column, order: int) -> Column:
     rows = F.transform(F.arrays_zip(between.alias("gap"), found.alias("m"), after.alias("after")), lambda x: F.struct(
         x["gap"].alias("gap"), x["m"].alias("m"), x["after"].alias("after"),
         (_iban(x["m"], x["after"]) if k.name == "iban" else F.when(_confirmed(k.name, x["m"]), x["m"])).alias("whole")))
-    # running position, and where the last accepted match ends
-    state = F.struct(F.lit(0).alias("at"), F.lit(0).alias("end"),
+    # running position, the text just before it, and where the last accepted match ends
+    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.lit(0).alias("end"),
                      F.array().cast("array<struct<start:int,m:string,before:string,after:string>>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
-        before = F.right(x["gap"], F.lit(NEARBY))
+        before = F.right(F.concat(acc["tail"], x["gap"]), F.lit(NEARBY))
         rest = F.substring(x["after"], F.length(x["whole"]) - F.length(x["m"]) + 1, F.lit(NEARBY))
         item = F.struct(start.alias("start"), x["whole"].alias("m"), before.alias("before"), rest.alias("after"))
         good = x["whole"].isNotNull() & (start >= acc["end"])
-        return F.struct((start + F.length(x["m"])).alias("at"),
+        return F.struct((start + F.length(x["m"])).alias("at"), F.right(F.concat(before, x["m"]), F.lit(NEARBY)).alias("tail"),
                         F.when(good, start + F.length(x["whole"])).otherwise(acc["end"]).alias("end"),
                         F.when(good, F.concat(acc["out"], F.array(item))).otherwise(acc["out"]).alias("out"))
 

@@ -133,6 +133,16 @@ def test_pii_iban_ends_at_a_group(spark):
     assert pii.redact_pii(row).first().text == "pay <IBAN> Thanks"
 
 
+def test_pii_context_reaches_past_other_matches(spark):
+    many = [f"219-09-99{i:02d}" for i in range(10, 30)]
+    cases = {"SSN: 078-05-1120, 219-09-9999": ["078-05-1120", "219-09-9999"], "078-05-1120, 219-09-9999 (SSN)": ["078-05-1120", "219-09-9999"],
+             "SSN: " + ", ".join(many): many[:3],  # a word counts for 40 characters
+             "é" * 60 + " ssn 078-05-1120, 219-09-9999 " + "é" * 60: ["078-05-1120", "219-09-9999"],
+             "SSN " + "." * 26 + " 078-05-1120" + "." * 60 + "219-09-9999": ["078-05-1120"],
+             "order 078-05-1120 SSN 219-09-9999": [], "078-05-1120": []}
+    assert dict(zip(cases, pii_texts(spark, cases, "ssn"), strict=True)) == cases
+
+
 def test_packing(spark, docs, none):
     from tokenizers import Tokenizer
     path = queries.vocabulary(queries.WORD_TOKENIZER)
