@@ -44,7 +44,7 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(prepared(spark), sf_dir, "pages")
     read = warc.page_archives(pages, scratch_path(spark, "archives"), payloads=False)
-    return read.where("reason IS NULL").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,6 @@ ARCHIVE_BYTES = 16 << 20
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _MAGIC = b"\x1f\x8b\x08"
-_MAX_HEADER = 1 << 20
 
 
 def digest(data: bytes) -> str:
@@ -67,6 +66,15 @@ class Salvage:
             self.gaps.append(Gap(start, end, reason))
 
 
+def _long(value: str) -> int | None:
+    """A 64-bit number, or None."""
+    if not re.fullmatch(r"-?0*[0-9]{1,19}", value):
+        return None
+    sign, digits = (-1, value[1:]) if value.startswith("-") else (1, value)
+    number = sign * int(digits.lstrip("0") or "0")
+    return number if -1 << 63 <= number < 1 << 63 else None
+
+
 def _clean(value: str) -> str:
     return re.sub(r"[\r\n]+", " ", value).strip()
 
@@ -81,19 +89,21 @@ def _parse(data: bytes, at: int) -> tuple[Record, int] | str:
     version = _VERSION.match(data, at)
     if not version:
         return "no version line"
-    end = data.find(b"\r\n\r\n", version.end() - 2, at + _MAX_HEADER)
-    if end < 0:
-        return "headers do not end"
     headers: dict[str, str] = {}
-    for line in data[version.end():end].decode("utf-8", "replace").split("\r\n"):
-        name, colon, value = line.partition(":")
+    pos = version.end()
+    # line by line, so that a try ends at the first line that is no header, however long the headers are
+    while (end := data.find(b"\r\n", pos)) != pos:
+        if end < 0:
+            return "headers do not end"
+        name, colon, value = data[pos:end].decode("utf-8", "replace").partition(":")
         if not colon:
             return "malformed header"
         headers.setdefault(name.strip().lower(), value.strip())
+        pos = end + 2
     length = headers.get("content-length", "")
     if not re.fullmatch(r"[0-9]{1,18}", length):
         return "no content length"
-    start, stop = end + 4, end + 4 + int(length)
+    start, stop = end + 2, end + 2 + int(length)
     if data[stop:stop + 4] != b"\r\n\r\n":
         return "block is cut or its length is wrong"
     record = Record(at, headers, data[start:stop])
@@ -245,12 +255,13 @@ _RECORD = ("offset long, record_type string, record_id string, target_uri string
            "page_id long, refers_to long, payload binary, gap_end long, reason string")
 
 
-def read_archives(files: DataFrame, payloads: bool = True) -> DataFrame:
+def read_archives(files: DataFrame, payloads: bool = True, whole_only: bool = False) -> DataFrame:
     """(path[, content]) -> path and one row per record or gap.
 
     With ``content``, as Spark's binaryFile reader gives it, any store that
     Spark reads will do; with ``path`` alone the task opens the file itself. A
-    gap's row has offset, gap_end and reason; its other columns are null. A
+    gap's row has offset, gap_end and reason; its other columns are null. With
+    ``whole_only`` a gap fails the job instead. A
     null or empty content gives no rows. A payload's length is that of the
     whole payload, also for a revisit, which carries none. One archive at a
     time is in a task's memory.
@@ -262,11 +273,12 @@ def read_archives(files: DataFrame, payloads: bool = True) -> DataFrame:
 
     def rows(path: str, data: bytes) -> Iterator[dict]:
         got = salvage(data)
+        if whole_only and got.gaps:
+            raise ValueError(f"{path}: {got.gaps[0].reason}, bytes {got.gaps[0].start} to {got.gaps[0].end}")
         for r in got.records:
             h = r.headers
             whole = h.get("warc-type") != "revisit"
-            number = {k: int(v) if re.fullmatch(r"-?[0-9]{1,18}", v := h.get(k, "")) else None
-                      for k in ("x-page-id", "x-refers-to-page", "x-payload-length")}
+            number = {k: _long(h.get(k, "")) for k in ("x-page-id", "x-refers-to-page", "x-payload-length")}
             payload = r.payload
             yield {"path": path, "offset": r.offset, "record_type": h.get("warc-type"), "record_id": h.get("warc-record-id"),
                    "target_uri": h.get("warc-target-uri"),
@@ -296,6 +308,7 @@ def page_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
                   least: int = 0, payloads: bool = True) -> DataFrame:
     """Write a record per page into ``folder`` and read the archives back; the rows of ``read_archives``.
 
+    No page is left out: an archive that cannot be read back whole fails the job.
     Of pages with equal payloads of at least ``least`` bytes the smallest id
     is the response, the others revisit it. A null html is an empty payload;
     a page with a null id revisits, unless its whole group has none. Rows that
@@ -305,4 +318,4 @@ def page_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
     manifest = write_archives(with_revisits(pages, id_col, url_col, html_col, least), folder)
     total = manifest.agg(F.sum("bytes"), F.count(F.lit(1))).first()
     parts = max(1, min(total[1], -(-(total[0] or 0) // (ARCHIVE_BYTES // 8))))
-    return read_archives(manifest.select("path").repartition(parts), payloads)
+    return read_archives(manifest.select("path").repartition(parts), payloads, whole_only=True)

@@ -217,6 +217,20 @@ def test_warc_round_trip_and_salvage(spark, tmp_path):
         assert len(found.gaps) == 3 and sum(g.end - g.start for g in found.gaps) == len(broken) + 4 + len(parts[5]) - 9
 
 
+def test_warc_keeps_long_ids_and_urls(spark, tmp_path):
+    low, high, url = -2**63, 2**63 - 1, "data:," + "u" * (2 << 20)
+    pages = spark.createDataFrame([(low, "u", "p"), (high, url, "p"), (10**18, "u", "q")], "page_id long, url string, html string")
+    got = warc.page_archives(pages, f"file://{tmp_path}/a").collect()
+    assert {(r.page_id, r.record_type, r.refers_to, len(r.target_uri)) for r in got} == {
+        (low, "response", None, 1), (high, "revisit", low, len(url)), (10**18, "response", None, 1)}
+    assert [warc._long(x) for x in ("", "-", "007", str(2**63), "0" * 9000 + "5", "9" * 9000)] == [None, None, 7, None, 5, None]
+    whole = warc._page_record(1, "u", "p", None)
+    files = spark.createDataFrame([("x", whole + b"junk")], "path string, content binary")
+    assert warc.read_archives(files).count() == 2
+    with pytest.raises(Exception, match="bytes .* to"):
+        warc.read_archives(files, whole_only=True).collect()
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "<|im_end|> <\\|x"), (1, 1, "assistant", "a<"), (2, 0, None, None), (2, 0, "we\nird<|nl|>", "x")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
