@@ -28,6 +28,7 @@ ARCHIVE_BYTES = 16 << 20
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _MAGIC = b"\x1f\x8b\x08"
+_START = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
 
 
 def digest(data: bytes) -> str:
@@ -146,32 +147,52 @@ def _member(data: bytes, at: int) -> tuple[bytes, int] | str:
     return b"".join(body), min(pos, len(data)) - len(inflate.unused_data)
 
 
+def _at(data: bytes, at: int) -> tuple[Salvage, int] | str:
+    """What a member or plain record at ``at`` holds and where it ends, or why there is neither."""
+    found = Salvage()
+    if data[at:at + 3] == _MAGIC:
+        member = _member(data, at)
+        if isinstance(member, str):
+            return member
+        body, end = member
+        inner = Salvage()
+        _plain(body, 0, inner)
+        for r in inner.records:  # the offset of a record in a file is its member's
+            r.offset = at
+        found.records = inner.records
+        if inner.gaps or not body:
+            found.lost(at, end, inner.gaps[0].reason if inner.gaps else "empty member")
+        return found, end
+    record = _parse(data, at)
+    if isinstance(record, str):
+        return "neither a gzip member nor a version line" if record == "no version line" else record
+    found.records.append(record[0])
+    return found, record[1]
+
+
 def salvage(data: bytes) -> Salvage:
-    """All records that can be read from an archive's bytes, and the gaps, both by offset."""
-    out = Salvage()
-    if _MAGIC not in data or _VERSION.match(data):
-        _plain(data, 0, out)
-        return out
-    at = 0
+    """All records that can be read from an archive's bytes, and the gaps, both by offset.
+
+    Members and plain records may follow each other in any order. After a
+    failed check the search goes on at the nearest member that holds a valid
+    record or version line that begins one, whatever came before.
+    """
+    out, at = Salvage(), 0
     while at < len(data):
-        got = _member(data, at)
-        if not isinstance(got, str):
-            body, end = got
-            inner = Salvage()
-            _plain(body, 0, inner)
-            for r in inner.records:  # the offset of a record in a file is its member's
-                r.offset = at
-            out.records += inner.records
-            if inner.gaps or not body:
-                out.lost(at, end, inner.gaps[0].reason if inner.gaps else "empty member")
-            at = end
-            continue
-        nxt = data.find(_MAGIC, at + 1)
-        while nxt >= 0 and isinstance(_member(data, nxt), str):
-            nxt = data.find(_MAGIC, nxt + 1)
-        nxt = nxt if nxt >= 0 else len(data)
-        out.lost(at, nxt, got)
-        at = nxt
+        got, start = _at(data, at), at
+        if isinstance(got, str):
+            reason, got = got, (Salvage(), len(data))
+            for m in _START.finditer(data, at + 1):
+                tried = _at(data, m.start())
+                if not isinstance(tried, str) and tried[0].records:
+                    start, got = m.start(), tried
+                    break
+            else:
+                start = len(data)
+            out.lost(at, start, reason)
+        out.records += got[0].records
+        out.gaps += got[0].gaps
+        at = got[1]
     return out
 
 

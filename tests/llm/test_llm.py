@@ -217,6 +217,29 @@ def test_warc_round_trip_and_salvage(spark, tmp_path):
         assert len(found.gaps) == 3 and sum(g.end - g.start for g in found.gaps) == len(broken) + 4 + len(parts[5]) - 9
 
 
+def test_warc_salvages_plain_records_and_members_in_one_file():
+    import gzip
+    plain = [warc.record_bytes([("X-Page-ID", str(i))], b"page " * 50) for i in range(6)]
+    body = warc.record_bytes([("X-Page-ID", "6")], gzip.compress(b"no record " * 50))
+    packed = [gzip.compress(r) for r in plain]
+    bad = b"X" + plain[0][1:]
+
+    def read(*parts):
+        got = warc.salvage(b"".join(parts))
+        return [r.headers["x-page-id"] for r in got.records], [(g.start, g.end) for g in got.gaps]
+
+    cut = packed[0][:-9]
+    assert read(bad, plain[1], body, plain[2]) == (["1", "6", "2"], [(0, len(bad))])
+    assert read(bad, body, plain[2]) == (["6", "2"], [(0, len(bad))])
+    assert read(b"X" + body[1:], plain[1]) == (["1"], [(0, len(body))])  # the payload is a member, but no record
+    assert read(packed[0], plain[1], packed[2], plain[3]) == (["0", "1", "2", "3"], [])
+    assert read(plain[0], packed[1], bad, packed[3], cut, plain[5]) == (["0", "1", "3", "5"], [
+        (n := len(plain[0] + packed[1]), n + len(bad)), (n + len(bad + packed[3]), n + len(bad + packed[3] + cut))])
+    other = gzip.compress(b"something else")
+    assert read(plain[0], other, plain[1]) == (["0", "1"], [(len(plain[0]), len(plain[0] + other))])
+    assert read(bad) == ([], [(0, len(bad))]) and read() == ([], []) and read(b"\x1f\x8b\x08" + plain[1]) == (["1"], [(0, 3)])
+
+
 def test_warc_keeps_long_ids_and_urls(spark, tmp_path):
     low, high, url = -2**63, 2**63 - 1, "data:," + "u" * (2 << 20)
     pages = spark.createDataFrame([(low, "u", "p"), (high, url, "p"), (10**18, "u", "q")], "page_id long, url string, html string")
