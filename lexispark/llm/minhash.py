@@ -6,7 +6,9 @@
 2. Documents with one word sequence have one set; their smallest id stands
    for all of them from here on.
 3. Star round: each document is compared with the smallest id of its buckets.
-4. Buckets that still hold several components are worked on in blocks, where
+   Buckets with many documents outside their largest component get further
+   rounds from the smallest of these, as long as that shrinks them.
+4. Buckets that still hold several components are worked on in pairs of blocks, where
    all pairs of different components whose signatures come near the threshold
    are confirmed on the full sets, each pair at its first common band.
 5. Large-star / small-star joins the confirmed links. No bucket is ever
@@ -126,20 +128,26 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
             .select("src", "dst"))
 
 
+#: A group of rows: a bucket and two of its blocks.
+_HEADS = ["key", "t1", "t2"]
+
+
 class _Block:
     """The columns of sorted block rows, and a group's near pairs of different components at their first common band."""
 
     def __init__(self, t: pa.Table, minima: int, least: int):
-        self.key, self.task, self.ids, self.comp, self.own = (t[c].to_numpy() for c in ("key", "task", "doc_id", "comp", "block"))
-        self.minor, self.bands, self.least = t["minor"].to_numpy(), matrix(t["bands"]), least
+        self.key, self.t1, self.t2, self.ids, self.comp, self.own = (t[c].to_numpy() for c in (*_HEADS, "doc_id", "comp", "block"))
+        self.bands, self.least = matrix(t["bands"]), least
         self.sig = np.frombuffer(b"".join(t["sig"].to_pylist()), "<u2").reshape(len(self.ids), minima)
 
     def pairs(self, lo: int, hi: int) -> Iterator[tuple[int, np.ndarray]]:
-        """Each visiting document's place and those of its partners."""
+        """The place of each document of the second block and those of its partners, all in the first block."""
         s = slice(lo, hi)
-        for i in (lo + np.flatnonzero(self.minor[s])).tolist():
-            fit = (self.comp[s] != self.comp[i]) & (~self.minor[s] | (
-                (np.minimum(self.own[s], self.own[i]) == self.task[i]) & (self.ids[s] > self.ids[i])))
+        first, across = self.own[s] == self.t1[lo], self.t1[lo] != self.t2[lo]
+        for i in (lo + np.flatnonzero(self.own[s] == self.t2[lo])).tolist():
+            fit = first & (self.comp[s] != self.comp[i])
+            if not across:
+                fit &= self.ids[s] > self.ids[i]
             j = lo + np.flatnonzero(fit)
             j = j[(self.sig[j] == self.sig[i]).sum(axis=1) >= self.least]
             if len(j):
@@ -151,7 +159,7 @@ class _Block:
 def _involved(minima: int, least: int):
     """Of each group the rows that some near pair needs."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, bounds in sorted_groups(batches, ["key", "task"]):
+        for t, bounds in sorted_groups(batches, _HEADS):
             block, used = _Block(t, minima, least), np.zeros(t.num_rows, bool)
             for lo, hi in bounds:
                 for i, j in block.pairs(lo, hi):
@@ -164,7 +172,7 @@ def _involved(minima: int, least: int):
 def _links(minima: int, least: int, pct: int):
     """The near pairs of each group that full sets confirm; of those that join what is joined already, none."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, bounds in sorted_groups(batches, ["key", "task"]):
+        for t, bounds in sorted_groups(batches, _HEADS):
             block = _Block(t, minima, least)
             lists = t["shingles"].combine_chunks()
             at, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
@@ -199,33 +207,72 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
 
 
+def _open_buckets(multi: DataFrame, comps: DataFrame) -> DataFrame:
+    """The rows of buckets with several components: minor outside the bucket's largest one, and how many of either kind it has."""
+    named = multi.join(comps, multi.doc_id == comps.node, "left").select(
+        "key", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
+    sizes = named.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
+    major = (sizes.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m"), F.sum("c").alias("n"), F.count(F.lit(1)).alias("k"))
+             .where("k > 1").select("key", F.col("m.comp").alias("major"), F.col("m.c").alias("n_major"),
+                                    (F.col("n") - F.col("m.c")).alias("n_minor")))
+    return named.join(major, "key").withColumn("minor", F.col("comp") != F.col("major")).drop("major")
+
+
+def _block_pairs(rows: DataFrame) -> DataFrame:
+    """Each row of ``_open_buckets`` at each pair of blocks (t1, t2) that it takes part in, t1 <= t2.
+
+    The largest component has blocks of its own, numbered before the others'.
+    Its rows meet the others' blocks only; the others' rows meet all. So t2 is
+    never a block of the largest component, and a group holds two blocks at most.
+    """
+    major, minor = (F.ceil(F.col(n) / BLOCK).cast("long") for n in ("n_major", "n_minor"))
+    at = F.xxhash64("doc_id")
+    own = F.when(F.col("minor"), major + F.pmod(at, minor)).otherwise(F.pmod(at, major))
+    first = F.when(F.col("minor"), F.lit(0).cast("long")).otherwise(major)
+    return (rows.withColumn("block", own).withColumn("other", F.explode(F.sequence(first, major + minor - 1)))
+            .select("key", F.least("block", "other").alias("t1"), F.greatest("block", "other").alias("t2"), "doc_id", "comp", "block"))
+
+
+def _near_size(pairs: DataFrame, sized: DataFrame, pct: int) -> DataFrame:
+    """The (src, dst) of ``pairs`` whose sets' sizes allow a link."""
+    return (pairs.join(sized.toDF("src", "n1"), "src").join(sized.toDF("dst", "n2"), "dst")
+            .where(100 * F.least("n1", "n2") >= pct * F.greatest("n1", "n2")).select("src", "dst"))
+
+
+def _further_stars(multi: DataFrame, comps: DataFrame, sized: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
+    """``comps`` after star rounds in the buckets with more than a block outside their largest component.
+
+    A round compares each such document with one centre. The rounds go on
+    while each leaves a tenth fewer; the pair step does the rest.
+    """
+    before = None
+    while True:
+        crowd = stored(_open_buckets(multi, comps).where(F.col("minor") & (F.col("n_minor") > BLOCK))
+                       .select("key", "doc_id", "comp"), "minhash")
+        left = crowd.count()
+        if not left or before is not None and 10 * left > 9 * before:
+            return comps
+        before = left
+        centre = crowd.groupBy("key").agg(F.min(F.struct("doc_id", "comp")).alias("c"))
+        star = (crowd.join(centre, "key").where(F.col("comp") != F.col("c.comp"))
+                .groupBy(F.col("doc_id").alias("src")).agg(F.min("c.doc_id").alias("dst")))
+        comps = _merged(comps, _confirmed(_near_size(star, sized, pct), sets, pct))
+
+
 def _open_links(multi: DataFrame, comps: DataFrame, reps: DataFrame, sets: DataFrame, pct: int, minima: int) -> DataFrame:
     """Links between components that share a bucket.
 
-    The members of a bucket's largest component lie in one block each; the
-    others visit every block. So a bucket of m near copies and a few
-    strangers costs about m rows, and memory is bounded by the block and its
-    visitors. Signatures first tell which rows some near pair needs; only these
+    A bucket of m near copies and a few strangers costs about m rows, one of m
+    strangers m * m / BLOCK; a task holds two blocks of either at a time.
+    Signatures first tell which rows some near pair needs; only these
     get their full sets, and the pairs are confirmed in place.
     """
     least = int(minima * max(0.0, pct / 100 - MARGIN))
-    named = multi.join(comps, multi.doc_id == comps.node, "left").select(
-        "key", "doc_id", "n", F.coalesce("component", "doc_id").alias("comp"))
-    sizes = named.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
-    major = (sizes.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m"), F.count(F.lit(1)).alias("k"))
-             .where("k > 1").select("key", F.col("m.comp").alias("major")))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("long")
-    placed = (named.join(major, "key")
-              .withColumn("minor", F.col("comp") != F.col("major"))
-              .withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks))
-              .withColumn("task", F.explode(F.when(F.col("minor"), F.sequence(F.lit(0).cast("long"), blocks - 1))
-                                            .otherwise(F.array("block")))))
     kind = dict(multi.dtypes)["doc_id"]
-    placed = (placed.join(reps.select("doc_id", "sig", "bands"), "doc_id")
-            .select("key", "task", "doc_id", "comp", "minor", "block", "sig", "bands")
-            .repartition("key", "task").sortWithinPartitions("key", "task"))
+    placed = (_block_pairs(_open_buckets(multi, comps)).join(reps.select("doc_id", "sig", "bands"), "doc_id")
+              .select(*_HEADS, "doc_id", "comp", "block", "sig", "bands").repartition(*_HEADS).sortWithinPartitions(*_HEADS))
     needed = stored(placed.mapInArrow(_involved(minima, least), placed.schema), "minhash")
-    return (needed.join(sets, "doc_id").repartition("key", "task").sortWithinPartitions("key", "task")
+    return (needed.join(sets, "doc_id").repartition(*_HEADS).sortWithinPartitions(*_HEADS)
             .mapInArrow(_links(minima, least, pct), f"src {kind}, dst {kind}"))
 
 
@@ -259,16 +306,15 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     reps = live.join(rep_of.select(F.col("rep").alias("doc_id"), "seq_hash"), ["doc_id", "seq_hash"], "left_semi")
     keyed = reps.select("doc_id", F.explode("bands").alias("key"))
     shared = (keyed.groupBy("key").agg(F.min("doc_id").alias("center"), F.count(F.lit(1)).alias("n"))
-              .where("n > 1"))
+              .where("n > 1").drop("n"))
     multi = stored(keyed.join(shared, "key"), "minhash")
     in_play = multi.select("doc_id").distinct()
     texts = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sets = stored(shingle_sets(texts.join(in_play, "doc_id", "left_semi"), ngram), "minhash")
     sized = reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("size"))
-    star = (multi.where("doc_id <> center").groupBy(F.col("doc_id").alias("src")).agg(F.min("center").alias("dst"))
-            .join(sized.toDF("src", "n1"), "src").join(sized.toDF("dst", "n2"), "dst")
-            .where(100 * F.least("n1", "n2") >= pct * F.greatest("n1", "n2")).select("src", "dst"))
-    comps = stored(connected_components(_confirmed(star, sets, pct)), "minhash")
+    star = multi.where("doc_id <> center").groupBy(F.col("doc_id").alias("src")).agg(F.min("center").alias("dst"))
+    comps = stored(connected_components(_confirmed(_near_size(star, sized, pct), sets, pct)), "minhash")
+    comps = _further_stars(multi, comps, sized, sets, pct)
     comps = _merged(comps, _open_links(multi, comps, reps, sets, pct, minima))
     label = comps.toDF("rep", "c")
     named = rep_of.join(label, "rep", "left").select("seq_hash", F.coalesce("c", "rep").alias("component"))

@@ -112,6 +112,29 @@ def test_pii_against_plain_patterns(spark, docs, none):
     assert red[0].text == "my iban <IBAN> or DE89370400440532013001 <EMAIL>!" and red[1].text is None and red[0].pii == 1
 
 
+def test_minhash_of_one_template(spark, monkeypatch):
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for cluster in range(40):  # edits of one template, most below the threshold to each other
+        own = [f"c{cluster}x{i}" if rng.random() < 0.08 else w for i, w in enumerate(base)]
+        rows += [(len(rows) + k, " ".join(f"e{rng.random()}" if i == e else w for i, w in enumerate(own)))
+                 for k, e in enumerate(rng.sample(range(60), rng.randint(1, 8)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    seen, place = [], minhash._block_pairs
+
+    def spied(r):
+        out = place(r)
+        seen.extend(x["count"] for x in out.groupBy("key", "t1", "t2").count().collect())
+        return out
+
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    monkeypatch.setattr(minhash, "_block_pairs", spied)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in minhash.near_components(df, ngram=3, pct=85, rows=6, bands=24).collect()}
+    assert got == jaccard_components(rows, 3, 85)
+    assert len(rows) > 100 and len(seen) > 100 and max(seen) < 40
+
+
 def pii_texts(spark, texts, kind):
     """The spans of one kind that each text has, as strings."""
     at = [k.name for k in pii.KINDS].index(kind)
