@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, stored
+from .common import map_columns, map_texts, stored
 from .linear import binned, calibrated, isotonic, normal_equations, ridge
 from .minhash import words
 
@@ -135,12 +135,12 @@ def fit_chain(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     """A chain from at most ``fit_rows`` labelled documents; None without any label.
 
     A document that several label rows name counts once, with its largest
-    label. The chosen ids are broadcast; ``fit_rows`` bounds their size.
+    label, and one that several rows hold counts once, with its smallest text. The chosen ids are broadcast; ``fit_rows`` bounds their size.
     """
     chosen = (labels.where(f"doc_id IS NOT NULL AND {label_col} IN (0, 1)").groupBy("doc_id")
               .agg(F.max(label_col).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows))
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = docs.join(F.broadcast(chosen), "doc_id")
+    rows = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
     fold = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(FOLDS)).cast("int").alias("part")
     rows = stored(rows.select("doc_id", "text", fold, *categories(F.col("text"), F.col("y"))), "toxicity")
     totals = rows.agg(F.sum("toxic"), F.count(F.lit(1))).first()
@@ -152,8 +152,8 @@ def fit_chain(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     top = (_feature_counts(rows).where(F.col("n1") + F.col("n0") >= LEAST_DOCS)
            .orderBy(chi.desc(), "feature").limit(FEATURES).select("feature").collect())
     chain = Chain([bytes(r[0]) for r in top])
-    held = stored(rows.drop("text").join(map_texts(rows, "doc_id", "text", lambda t: {"active": [chain.active(x) for x in t]},
-                                                   "active array<int>"), "doc_id"), "toxicity")
+    held = stored(map_columns(rows, ["doc_id", "part", *CATEGORIES], lambda b: {
+        "active": [chain.active(x) for x in b.column("text").to_pylist()]}, "active array<int>"), "toxicity")
     for j, name in enumerate(CATEGORIES):
         def z_of(p: pd.DataFrame) -> np.ndarray:
             return chain.inputs(chain.dense(p["active"].to_numpy()), p["part"].to_numpy())

@@ -216,6 +216,15 @@ def test_toxicity(spark, none):
     assert toxicity.toxicity_scores(df, labels.limit(0)).where("predicted = 0").count() == 501
 
 
+def test_toxicity_fits_a_repeated_document_once(spark):
+    rng = random.Random(10)
+    rows = [(i, " ".join(rng.choice(["good", "day", "idiot", "you", "scum", "all"]) for _ in range(3))) for i in range(200)]
+    labels = spark.createDataFrame([(i, int("idiot" in t or i % 9 == 0)) for i, t in rows], "doc_id long, toxic int")
+    once, often = ({r.doc_id: r.p_toxic for r in toxicity.toxicity_scores(spark.createDataFrame(x, "doc_id long, text string"), labels).collect()}
+                   for x in (rows, rows + rows[:20] * 15))
+    assert all(abs(once[i] - often[i]) < 1e-6 for i in once)
+
+
 def test_warc_round_trip_and_salvage(spark, tmp_path):
     pages = spark.createDataFrame([(3, "u", "é" * 10), (1, "u\r\nX: y", "é" * 10), (2, None, None), (5, "", ""), (None, "u", "p"),
                                    (7, "u", "WARC/1.1\r\n" * 3)], "page_id long, url string, html string")
