@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from lexispark.session import scratch_path
 
-from . import chat, embedding, exact_dedup, minhash, packing, pii, quality, sentencepiece, toxicity, warc
+from . import (best_position, chat, embedding, exact_dedup, minhash, packing, pii, quality, repair, sentencepiece, token_codes,
+               toxicity, warc)
 from .common import prepared, table
 
 WORD_TOKENIZER, PIECE_MODEL = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -71,9 +72,25 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(prepared(spark), sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(prepared(spark), sf_dir, "documents")
+    return token_codes.read_token_files(
+        token_codes.write_token_files(docs, vocabulary(WORD_TOKENIZER), scratch_path(spark, "codes")))
+
+
+def op12_best_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_position.best_documents(table(prepared(spark), sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(prepared(spark), sf_dir, "conversations")
+    rows = repair.ordered(repair.damaged(given))
+    return repair.repaired_hashes(rows, repair.repairs(rows, given))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_pii, op2_packing, op3_quality, op4_minhash, op5_warc, op6_exact_dedup, op7_chat, op8_embedding, op9_sentencepiece,
-    op10_toxicity)}
+    op10_toxicity, op11_token_codes, op12_best_position, op13_repair)}
 
 ORACLE: dict[str, str] = {
     "op6_exact_dedup": r"""
@@ -89,6 +106,21 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn)) AS loss_sha256,
   sum(length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')) + length(role) + 24)::BIGINT AS formatted_chars
 FROM c GROUP BY conv_id""",
+    "op12_best_position": r"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+d AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id),
+c AS (SELECT count(*) AS big_n, sum(n)::BIGINT AS big_l FROM d),
+p AS (SELECT term, doc_id, count(*) AS tf FROM t GROUP BY term, doc_id),
+w AS (SELECT term, floor(1000 * ln((2 * big_n + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM p, c GROUP BY term, big_n),
+q AS (SELECT item_id, term, count(*) AS r FROM (SELECT item_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark) GROUP BY item_id, term),
+s AS (SELECT item_id, doc_id, sum(r * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * big_n) // big_l))))::BIGINT AS score
+  FROM q JOIN p USING (term) JOIN w USING (term) JOIN d USING (doc_id), c GROUP BY item_id, doc_id),
+k AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+  FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 20""",
     "op8_embedding": """
 WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
   WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
