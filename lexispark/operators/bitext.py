@@ -39,21 +39,29 @@ def keyword_template(df: DataFrame, include_intents: bool = True, missing: str =
 
 
 def build_parallel(src: DataFrame, tgt: DataFrame, include_intents: bool = True,
-                   order_col: str = "ord", missing: str = "null") -> DataFrame:
-    """Zip two exports by row position -> (input, target).
+                   by: str = "ord", missing: str = "null") -> DataFrame:
+    """Pair two exports' rows -> (input, target).
 
-    Both sides get dense positions from the distributed positional index,
-    then an equi-join on the position (no single-task zip). The row counts
-    must be equal (checked first; this check is an action, which also finds
-    whether ``Volume`` has a missing value and so prints as float in pandas mode).
+    ``by`` is what pairs them: ``ord``, the rows' positions as the readers
+    give them, or a key that both sides carry, such as ``ID``. The keys go to
+    a hash join of both sides, which sorts neither. A row without partner is
+    an error when it is met, so no side is counted beforehand; keys that
+    repeat on a side are one too. In pandas mode one aggregate over the source
+    first finds whether ``Volume`` has a missing value and so prints as float.
     """
-    from ..sources.io import positional_id
-    n_src, holes = src.agg(F.count(F.lit(1)), F.count_if(F.col("Volume").isNull())).first()
-    n_tgt = tgt.count()
-    if n_src != n_tgt:
-        raise AssertionError(f"cannot pair {n_src} rows with {n_tgt} by position")
-    as_float = missing == "pandas" and holes > 0
-    s = positional_id(src, [order_col], "_pos").select(
-        "_pos", keyword_template(src, include_intents, missing, as_float).alias("input"))
-    t = positional_id(tgt, [order_col], "_pos").select("_pos", F.col("Keyword").alias("target"))
-    return s.join(t, "_pos").drop("_pos")
+    for df in (src, tgt):
+        if by not in df.columns:
+            raise KeyError(f"no column {by} to pair by; the table has {', '.join(df.columns)}")
+    as_float = missing == "pandas" and not src.where(F.col("Volume").isNull()).isEmpty()
+    once = F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit(f"{by} repeats: "), F.col("_s").cast("string")))
+                  .cast("boolean")).otherwise(True)
+    s = src.select(F.col(by).alias("_s"), keyword_template(src, include_intents, missing, as_float).alias("input"))
+    t = tgt.select(F.col(by).alias("_s"), F.col("Keyword").alias("target"))
+    if by != "ord":  # positions are unique as made
+        s, t = (d.groupBy("_s").agg(F.count(F.lit(1)).alias("_n"), F.first(c).alias(c)).where(once).drop("_n")
+                for d, c in ((s, "input"), (t, "target")))
+    s, t = s.withColumn("_in", F.lit(True)), t.withColumnRenamed("_s", "_t").withColumn("_tin", F.lit(True))
+    met = s.join(t.hint("shuffle_hash"), F.col("_s") == F.col("_t"), "full")
+    alone = F.raise_error(F.concat(F.lit(f"no partner for the row of {by} "),
+                                   F.coalesce(F.col("_s"), F.col("_t")).cast("string"))).cast("boolean")
+    return met.where(F.when(F.col("_in") & F.col("_tin"), True).otherwise(alone)).select("input", "target")

@@ -110,19 +110,22 @@ def stage_funnel(df: DataFrame, cfg: PrepConfig = PrepConfig()) -> DataFrame:
 
 def write_outputs(df: DataFrame, out_dir: str, cfg: PrepConfig = PrepConfig(),
                   make_upweighted: bool = False, fmt: str = "csv") -> None:
-    """Sinks K1/K2/K4: clean_full, then train/eval in one partitioned write.
+    """Sinks K1/K2/K4: clean_full (the input's columns and ``target_norm``,
+    without ``ord``), then train/eval in one partitioned write.
 
-    The labelled frame is written once (partitioned by split) and re-read,
-    so train/eval/upweighted never recompute the dedup/top-k shuffles.
+    All are in O1's order: source, then volume falling, then input order. The
+    labelled frame is written once (partitioned by split) and re-read, so
+    train/eval/upweighted never recompute the dedup/top-k shuffles.
     """
     from ..sources import io
     full = clean_full(df, cfg)
     labelled = with_split(full, cfg)
     base = out_dir.rstrip("/")
     io.write_table(labelled, f"{base}/_labelled", fmt="parquet", partition_by=["split"])
-    lab = df.sparkSession.read.parquet(f"{base}/_labelled")
-    io.write_table(lab.drop("split").select(*full.columns), f"{base}/clean_full", fmt=fmt)
-    io.write_table(lab.select(F.col("source").alias("input"), "target", "split"),
+    lab = df.sparkSession.read.schema(labelled.schema).parquet(f"{base}/_labelled")
+    order = [F.col("source"), F.col("actual_volume").desc_nulls_last(), F.col("ord")]
+    io.write_table(lab.orderBy(*order).select(*[c for c in full.columns if c != "ord"]), f"{base}/clean_full", fmt=fmt)
+    io.write_table(lab.orderBy("split", *order).select(F.col("source").alias("input"), "target", "split"),
                    f"{base}/pairs", fmt=fmt, partition_by=["split"])
     if make_upweighted:
-        io.write_table(upweighted_train(lab), f"{base}/train_upweighted", fmt=fmt)
+        io.write_table(upweighted_train(lab.orderBy(*order)), f"{base}/train_upweighted", fmt=fmt)

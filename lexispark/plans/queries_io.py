@@ -9,11 +9,12 @@ from pyspark.sql import types as T_
 
 from .. import oracle as O
 from ..functions import text as T
-from ..operators import ledger, split, stats
+from ..operators import ledger, rank, split, stats
 from ..session import scratch_path
 from ..sources import fixtures as fx
 from ..sources import io
 from . import candidates as C
+from . import prepare as P
 from .catalog import register
 
 KW_SCHEMA = T_.StructType([
@@ -157,7 +158,58 @@ def q_csv_input_order(spark, sf):
         io.write_table(kw.where(rows).orderBy("ord"), f"{path}/{name}.csv", fmt="csv")
     schema = T_.StructType([T_.StructField("n", T_.LongType()), *KW_SCHEMA.fields[1:]])
     d = io.read_csv(spark, f"{path}/*.csv", schema)
-    return io.positional_id(d.select("n", "ord"), ["ord"], "position").select(F.col("n").alias("ord"), "position")
+    return d.select(F.col("n").alias("ord"), F.col("ord").alias("position"))
+
+
+_CSV_POSITIONS = O.with_(O.KW_SQL) + """, placed as (select *, row_number() over (order by case when ord % 10 = 0 then 0 else 1 end, ord) - 1 as place
+  from kw)"""
+
+
+def _placed_csv(spark, sf):
+    """kw in a short file and one nine times as long, read back with positions."""
+    kw, path = fx.kw(spark, sf), scratch_path(spark, "placed")
+    for name, rows in (("a", F.col("ord") % 10 == 0), ("b", F.col("ord") % 10 != 0)):
+        io.write_table(kw.where(rows).orderBy("ord"), f"{path}/{name}.csv", fmt="csv")
+    schema = T_.StructType([T_.StructField("n", T_.LongType()), *KW_SCHEMA.fields[1:]])
+    return io.read_csv(spark, f"{path}/*.csv", schema)
+
+
+@register("csv_row_split", _CSV_POSITIONS + """,
+ranked as (select ord, row_number() over (order by md5('42:' || cast(place as varchar)), place) as pos, count(*) over () as n from placed),
+cuts as (select *, ceil(n * cast(0.1 as double)) as c1,
+                ceil(n * cast(0.1 as double)) + ceil((n - ceil(n * cast(0.1 as double))) * cast(0.1111 as double)) as c2 from ranked)
+select ord, case when pos <= c1 then 'test' when pos <= c2 then 'dev' else 'train' end as split from cuts""")
+def q_csv_row_split(spark, sf):
+    """X2 on rows of files: the split follows the rows' places, not the way the scan is cut."""
+    return split.three_way_split(_placed_csv(spark, sf), "ord").select(F.col("n").alias("ord"), "split")
+
+
+@register("csv_hash_sample", _CSV_POSITIONS + """
+select ord, source from placed order by md5('42:' || cast(place as varchar)), place limit 10""")
+def q_csv_hash_sample(spark, sf):
+    return rank.hash_sample(_placed_csv(spark, sf), 10, 42, "ord").select(F.col("n").alias("ord"), "source")
+
+
+@register("csv_positional_id", _CSV_POSITIONS + "select ord as n, place as id from placed")
+def q_csv_positional_id(spark, sf):
+    """P8 on a file scan: no sort, no check-point."""
+    kw, path = fx.kw(spark, sf), scratch_path(spark, "numbered")
+    for name, rows in (("a", F.col("ord") % 10 == 0), ("b", F.col("ord") % 10 != 0)):
+        io.write_table(kw.where(rows).orderBy("ord").select(F.col("ord").alias("n"), "source"), f"{path}/{name}.csv", fmt="csv")
+    return io.add_id_if_absent(io.read_csv(spark, f"{path}/*.csv", "n long, source string", with_ord=False)).select("n", "id")
+
+
+@register("csv_to_csv_l1", O.l1(2) + """
+select cast(row_number() over (order by source, actual_volume desc nulls last, ord) - 1 as bigint) as place, source, src_lang, target, tgt_lang,
+  volume, actual_volume, target_norm from l1_full""")
+def q_csv_to_csv_l1(spark, sf):
+    """L1 from a CSV file to CSV files: the input's columns and target_norm, in O1's order."""
+    kw, path = fx.kw(spark, sf), scratch_path(spark, "l1")
+    io.write_table(kw.orderBy("ord").drop("ord"), f"{path}/in", fmt="csv")
+    cols = T_.StructType(KW_SCHEMA.fields[1:])
+    P.write_outputs(io.read_csv(spark, f"{path}/in", cols), f"{path}/out", P.PrepConfig(topk_per_source=2), fmt="csv")
+    back = io.read_csv(spark, f"{path}/out/clean_full", T_.StructType([*cols.fields, T_.StructField("target_norm", T_.StringType())]))
+    return back.withColumnRenamed("ord", "place")
 
 
 @register("empty_glob_union", O.with_(O.KW_SQL) + "select * from kw")

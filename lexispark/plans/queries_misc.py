@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from .. import oracle as O
 from ..functions import lang as L
 from ..functions import text as T
-from ..operators import clean, infer, ledger, rank, stats
+from ..operators import bitext, clean, infer, ledger, rank, stats
+from ..session import scratch_path
 from ..sources import fixtures as fx
 from ..sources import io
 from . import candidates as C
@@ -448,11 +449,30 @@ def q_volume_enrich(spark, sf):
     return ledger.volume_enrich(cands, kws)
 
 
-@register("positional_zip", O.with_(O.KW_EXPORT_SQL) + f""", s as (select row_number() over (order by "ID") as i, {_template_sql()} as input from kw_export),
-t as (select row_number() over (order by "ID") as i, upper("Intents") as target from kw_export)
-select input, target from s join t using (i)""")
+_ZIP = O.with_(O.KW_EXPORT_SQL) + f""", s as (select "ID" as i, {_template_sql()} as input from kw_export),
+t as (select "ID" as i, upper("Intents") as target from kw_export)
+select input, target from s join t using (i)"""
+
+
+def _two_exports(spark, sf):
+    """A source export and a target export of the same rows in the same order, in files of their own, with positions."""
+    e, frames = fx.kw_export(spark, sf), []
+    for name, keyword, files in (("src", F.col("Keyword"), 3), ("tgt", F.upper("Intents"), 5)):
+        path = scratch_path(spark, f"export-{name}")
+        rows = e.withColumn("Keyword", keyword).repartitionByRange(files, "ID").sortWithinPartitions("ID")
+        io.write_table(rows.toDF("\ufeff\"#\"", *e.columns[1:]), path, fmt="csv", sep="\t", encoding="UTF-16LE")
+        frames.append(io.read_keyword_export(spark, path, with_ord=True))
+    return frames
+
+
+@register("positional_zip", _ZIP)
 def q_positional_zip(spark, sf):
-    from ..operators import bitext
-    e = fx.kw_export(spark, sf)
-    tgt = e.select("ID", F.upper("Intents").alias("Keyword"))
-    return bitext.build_parallel(e, tgt, include_intents=True, order_col="ID")
+    """Paired by the rows' places in files that are cut differently."""
+    return bitext.build_parallel(*_two_exports(spark, sf))
+
+
+@register("keyed_zip", _ZIP)
+def q_keyed_zip(spark, sf):
+    """Paired by the ID that both exports carry; the target side is in another order."""
+    src, tgt = _two_exports(spark, sf)
+    return bitext.build_parallel(src, tgt.orderBy(F.hash("ID")), by="ID")

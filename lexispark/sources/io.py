@@ -1,10 +1,9 @@
 """Sources and sinks (S1-S7, K1-K3), schema work (P1-P5, P7) and row order.
 
 DataFrames are unordered, so the reference's semantic row order becomes an
-explicit ``ord`` column made once at the scan: ``(file path, block start, row)``,
-a struct that sorts as the files' rows do, whatever order the reader packs its
-splits in; ``positional_id`` turns any total order into dense 0..n-1 positions
-without a single-task window.
+explicit ``ord`` column made at the scan: the row's position 0..n-1 in its
+files (``positions.py``). ``positional_id`` turns any other total order into
+dense positions without a single-task window.
 """
 
 from __future__ import annotations
@@ -18,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T_
 
 from ..functions import text as T
+from .positions import with_positions
 
 # The keyword export's kept columns.
 EXPORT_KEEP = ["ID", "Keyword", "Volume", "SERP Features"]
@@ -36,8 +36,10 @@ def read_csv(spark: SparkSession, paths: str | Sequence[str], schema: T_.StructT
     ``missing='pandas'`` turns pandas' NA words into null in string columns.
     An explicit schema is the default at scale (no inference pass). A pattern
     that matches no file gives an empty frame then; without a schema, and for a
-    plain path that does not exist, Spark's error stays. ``ord`` sorts rows by
-    file path and by their place in the file.
+    plain path that does not exist, Spark's error stays. ``ord`` is the row's
+    position in file path and file order, the same at any number of cores and
+    size of splits; its counts cost a second pass over the files, so leave it
+    out where nothing reads it.
     """
     r = (spark.read.option("header", True).option("quote", '"').option("escape", '"')
          .option("multiLine", multiline).option("mode", "FAILFAST"))
@@ -55,13 +57,12 @@ def read_csv(spark: SparkSession, paths: str | Sequence[str], schema: T_.StructT
         if e.getCondition() != "PATH_NOT_FOUND" or schema is None or not pattern:
             raise
         return _no_rows(spark, schema, with_file, with_ord)
-    if with_ord:
-        df = df.withColumn("ord", F.struct(F.col("_metadata.file_path").alias("path"),
-                                           F.col("_metadata.file_block_start").alias("block"),
-                                           F.monotonically_increasing_id().alias("row")))
+    cols = df.columns
     if with_file:
         df = df.withColumn("file_path", F.col("_metadata.file_path")) \
                .withColumn("file", F.col("_metadata.file_name"))
+    if with_ord:
+        df = with_positions(df, "ord").select(*[F.col(f"`{c}`") for c in (*cols, "ord", *df.columns[len(cols):])])
     if missing == "pandas":
         df = df.select(*[T.na_to_null(F.col(f"`{f.name}`")).alias(f.name)
                          if isinstance(f.dataType, T_.StringType) else F.col(f"`{f.name}`")
@@ -73,7 +74,7 @@ def _no_rows(spark: SparkSession, schema: T_.StructType | str, with_file: bool,
     """What ``read_csv`` gives for no file at all."""
     df = spark.createDataFrame([], schema)
     if with_ord:
-        df = df.withColumn("ord", F.lit(None).cast("struct<path: string, block: bigint, row: bigint>"))
+        df = df.withColumn("ord", F.lit(None).cast("long"))
     for c in ("file_path", "file") if with_file else ():
         df = df.withColumn(c, F.lit(None).cast("string"))
     return df
@@ -115,19 +116,23 @@ def prune_columns(df: DataFrame, keep: Sequence[str]) -> DataFrame:
 
 
 def read_keyword_export(spark: SparkSession, paths: str | Sequence[str],
-                        include_intents: bool = True, line_sep: str = "\n") -> DataFrame:
+                        include_intents: bool = True, line_sep: str = "\n", with_ord: bool = False) -> DataFrame:
     """Tab-separated UTF-16-LE export with BOM and a messy header.
 
     Splittable: with ``lineSep`` fixed the reader splits files across tasks.
     Values are read as strings; ``Volume`` / ``ID`` are cast with ``try_cast``.
     With CRLF line ends, the carriage return is taken off the last column.
+    ``with_ord`` adds ``ord``, the row's position in the files.
     """
     df = (spark.read.option("header", True).option("sep", "\t").option("encoding", "UTF-16LE")
           .option("lineSep", line_sep).option("quote", '"').option("escape", '"')
           .csv(paths if isinstance(paths, str) else list(paths)))
     keep = EXPORT_KEEP + ([EXPORT_INTENTS] if include_intents else [])
-    df = clean_header(df)
-    last = df.columns[-1]
+    last = clean_header_name(df.columns[-1])
+    names = [clean_header_name(c) for c in df.columns]
+    if with_ord:
+        df, names, keep = with_positions(df, "ord"), [*names, "ord"], [*keep, "ord"]
+    df = df.toDF(*names)
     df = df.withColumn(last, F.regexp_replace(F.col(f"`{last}`"), r"\r\z", ""))
     out = prune_columns(df, keep)
     return out.withColumn("ID", F.col("ID").try_cast("long")) \
@@ -230,9 +235,15 @@ def positional_id(df: DataFrame, order: Iterable, col: str = "id",
               .drop("_mid", "_pid", "_idx", "_off")
 
 
-def add_id_if_absent(df: DataFrame, order: Iterable = ("ord",), col: str = "id") -> DataFrame:
-    """A positional ``id`` only when the input has none."""
-    return df if col in df.columns else positional_id(df, order, col)
+def add_id_if_absent(df: DataFrame, order: Iterable | None = None, col: str = "id") -> DataFrame:
+    """A positional ``id`` only when the input has none.
+
+    A fresh file scan gets its rows' places in the files; with ``order``, any
+    frame gets positions in that total order (a distributed sort).
+    """
+    if col in df.columns:
+        return df
+    return with_positions(df, col) if order is None else positional_id(df, order, col)
 
 
 def file_parts(c) -> tuple[Column, Column]:
