@@ -1,14 +1,13 @@
 """Leak-free splits, volume buckets and up-weighting.
 
-Exact-size hash splits without a single-task global rank
---------------------------------------------------------
+Exact-size hash splits without a global rank
+--------------------------------------------
 Rows (or groups) are ordered by ``md5('{seed}:{key}')``. A split of exact
-size needs the key at position ``cut`` of that order. We find it in two
-small steps instead of ranking everything:
-
-1. count keys per hash prefix (``prefix_hex`` hex digits -> at most
-   16**prefix_hex rows, independent of data size) and take a running sum;
-2. the bucket holding position ``cut`` is ranked alone (~n / 16**p keys).
+size needs the key at position ``cut`` of that order. The hash's first 60
+bits are a number, and the number at a rank is found by refinement
+(``select.py``): a round counts the keys of 65,536 bins and the next one
+splits the bin that holds the cut. Two rounds leave the 2^32nd part of the
+keys, some tens at most, which are ranked by (hash, key).
 
 The result is a one-row threshold ``(h, key)``; every row is then
 labelled map-side by comparing its own hash with it (broadcast of one
@@ -19,41 +18,25 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .rank import hash_key
+from .select import at_ranks
+
+#: Bins of a round, and rounds.
+CUT_BINS, CUT_ROUNDS = 1 << 16, 2
 
 
-def _thresholds(keys: DataFrame, key: str, cuts: Sequence[Callable[[Column], Column]],
-                prefix_hex: int) -> DataFrame:
+def _thresholds(keys: DataFrame, key: str, cuts: Sequence[Callable[[Column], Column]], bins: int) -> DataFrame:
     """One row: for each cut i, struct(_h, key) of the key at 1-based position cut_i(n).
 
-    ``keys`` has distinct ``(_h, key)`` rows. A cut of 0 (or beyond n) gives null.
+    ``keys`` has unique ``(_h, key)`` rows. A cut of 0 (or beyond n) gives null.
     """
-    b = F.substring("_h", 1, prefix_hex).alias("_b")
-    hist = keys.groupBy(b).agg(F.count(F.lit(1)).alias("_n"))
-    whole = Window.partitionBy()  # <= 16**prefix_hex rows by construction
-    run = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hist = (hist.withColumn("_tot", F.sum("_n").over(whole))
-                .withColumn("_cum", F.sum("_n").over(run)))
-    hist = hist.select("_b", "_n", "_cum", *[
-        f(F.col("_tot")).cast("long").alias(f"_c{i}") for i, f in enumerate(cuts)])
-    targets = None
-    for i in range(len(cuts)):
-        cut = F.col(f"_c{i}")
-        t = hist.where((F.col("_cum") - F.col("_n") < cut) & (cut <= F.col("_cum"))).select(
-            F.lit(i).alias("_ci"), F.col("_b").alias("_tb"),
-            (cut - (F.col("_cum") - F.col("_n"))).alias("_need"))
-        targets = t if targets is None else targets.unionByName(t)
-    # rank only the bucket(s) holding a cut; the target table has <= len(cuts) rows
-    kb = keys.withColumn("_b", F.substring("_h", 1, prefix_hex))
-    cand = kb.join(F.broadcast(targets), kb["_b"] == targets["_tb"])
-    w = Window.partitionBy("_ci").orderBy("_h", key)
-    picked = cand.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == F.col("_need"))
-    agg = [F.max(F.when(F.col("_ci") == i, F.struct("_h", key))).alias(f"_t{i}")
-           for i in range(len(cuts))]
-    return picked.agg(*agg)
+    numbers = keys.withColumn("_v", F.conv(F.substring("_h", 1, 15), 16, 10).cast("long"))
+    found = at_ranks(numbers, [], "_v", cuts, ties=["_h", key], bins=bins, rounds=CUT_ROUNDS, span=(0, 16 ** 15 - 1))
+    return found.select(*[F.col(f"at{i}").alias(f"_t{i}") for i in range(len(cuts))])
 
 
 def _le(h: Column, k: Column, th: Column, key: str) -> Column:
@@ -63,26 +46,26 @@ def _le(h: Column, k: Column, th: Column, key: str) -> Column:
 
 def hash_cut_labels(df: DataFrame, key: str, seed: int,
                     cuts: Sequence[Callable[[Column], Column]], labels: Sequence[str],
-                    label_col: str = "split", prefix_hex: int = 4,
-                    materialize: bool = True) -> DataFrame:
+                    label_col: str = "split", bins: int = CUT_BINS,
+                    materialize: bool = True, unique: bool = False) -> DataFrame:
     """Label rows by position of ``hash(key)`` among distinct keys.
 
     ``labels[i]`` goes to keys at positions ``<= cuts[i](n)`` (first match
     wins); the last label (``labels[len(cuts)]``) to the rest; null keys
-    get the last label.
+    get the last label. ``unique``: no two rows share a key, so keys need not
+    be made distinct and nothing but bin counts is shuffled.
 
-    The input feeds three branches (key histogram, cut bucket, rows). With
-    ``materialize`` it is check-pointed once to the shared checkpoint folder
-    so an expensive upstream plan (dedup + top-k shuffles) runs once, and
-    the lineage is cut for executor loss.
+    The input feeds several branches (bin counts, the cut's bin, rows). With
+    ``materialize`` it is written once to the shared folder, so an expensive
+    upstream plan (dedup + top-k shuffles) runs once, the counting branches
+    read the key column alone, and the lineage is cut for executor loss.
     """
     if materialize:
-        from ..session import checkpoint_root
-        checkpoint_root(df.sparkSession)
-        df = df.checkpoint(eager=True)
+        df = stored(df, "split")
     h = hash_key(seed, key)
-    keys = df.select(key).where(F.col(key).isNotNull()).distinct().withColumn("_h", h)
-    th = _thresholds(keys, key, cuts, prefix_hex)
+    keys = df.select(key).where(F.col(key).isNotNull())
+    keys = (keys if unique else keys.distinct()).withColumn("_h", h)
+    th = _thresholds(keys, key, cuts, bins)
     x = df.withColumn("_h", h).join(F.broadcast(th), on=F.lit(True), how="left")
     lab = F.lit(labels[-1])
     for i in reversed(range(len(cuts))):
@@ -92,29 +75,29 @@ def hash_cut_labels(df: DataFrame, key: str, seed: int,
 
 
 def group_split(df: DataFrame, key: str = "source", train_frac: float = 0.9, seed: int = 42,
-                label_col: str = "split", prefix_hex: int = 4, materialize: bool = True) -> DataFrame:
+                label_col: str = "split", bins: int = CUT_BINS, materialize: bool = True) -> DataFrame:
     """First ``int(n_keys * train_frac)`` keys in seeded hash order -> 'train'.
 
     Same size and disjointness as a seeded shuffle of unique keys; the
     members differ from numpy's RNG, which is not reproducible here.
     """
     cut = lambda n: F.floor(n * F.lit(float(train_frac)))
-    return hash_cut_labels(df, key, seed, [cut], ["train", "eval"], label_col, prefix_hex,
-                           materialize)
+    return hash_cut_labels(df, key, seed, [cut], ["train", "eval"], label_col, bins, materialize)
 
 
 def three_way_split(df: DataFrame, key: str = "ord", test_size: float = 0.10,
                     dev_size: float = 0.1111, seed: int = 42, label_col: str = "split",
-                    prefix_hex: int = 4, materialize: bool = True) -> DataFrame:
+                    bins: int = CUT_BINS, materialize: bool = True) -> DataFrame:
     """test = ceil(test_size*N) rows, dev = ceil(dev_size*(N-test)), rest train.
 
-    Row-level (``key`` unique per row), so equal pairs may straddle splits.
+    Row-level: ``key`` is unique per row (a position or id), so equal pairs
+    may straddle splits.
     """
     n_test = lambda n: F.ceil(n * F.lit(float(test_size)))
     n_upto_dev = lambda n: F.ceil(n * F.lit(float(test_size))) + \
         F.ceil((n - F.ceil(n * F.lit(float(test_size)))) * F.lit(float(dev_size)))
     return hash_cut_labels(df, key, seed, [n_test, n_upto_dev], ["test", "dev", "train"],
-                           label_col, prefix_hex, materialize)
+                           label_col, bins, materialize, unique=True)
 
 
 def threshold_split(df: DataFrame, key: str = "source", train_frac: float = 0.9, seed: int = 42,

@@ -21,14 +21,37 @@ def test_group_split_exact_size_disjoint(spark):
     assert out.count() == d.count()
 
 
-def test_group_split_prefix_width_does_not_change_result(spark):
+def test_group_split_bins_do_not_change_result(spark):
     d = keys(spark, 400)
-    a = split.group_split(d, "source", 0.7, 7, prefix_hex=1)
-    b = split.group_split(d, "source", 0.7, 7, prefix_hex=4)
+    a = split.group_split(d, "source", 0.7, 7, bins=2)
+    b = split.group_split(d, "source", 0.7, 7)
     s = lambda x: sorted((r.ord, r.split) for r in x.collect())
     assert s(a) == s(b)
 
 
+def test_splits_against_a_plain_ranking(spark):
+    import hashlib
+    h = lambda x: hashlib.md5(f"42:{x}".encode()).hexdigest()
+    d = keys(spark, 603)
+    names = sorted({r.source for r in d.collect()}, key=lambda x: (h(x), x))
+    train = set(names[:math.floor(len(names) * 0.9)])
+    assert {(r.ord, r.split) for r in split.group_split(d, "source", 0.9, 42).collect()} == {
+        (r.ord, "train" if r.source in train else "eval") for r in d.collect()}
+    ids = sorted(range(603), key=lambda x: (h(x), x))
+    test, dev = ids[:61], ids[61:61 + math.ceil(0.1111 * 542)]
+    got = {r.ord: r.split for r in split.three_way_split(d).collect()}
+    assert got == {i: "test" if i in test else "dev" if i in dev else "train" for i in ids}
+
+
+def test_unique_keys_are_not_made_distinct(spark):
+    d = split.three_way_split(spark.range(100).toDF("ord"), materialize=False)
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    rows = [x for x in plan.splitlines() if "Aggregate [ord#" in x or "Aggregate [_h#" in x]
+    assert not rows
+    null = spark.createDataFrame([(None, "a"), (1, "b"), (2, "c")], "ord long, t string")
+    assert {r.ord: r.split for r in split.three_way_split(null, test_size=0.5, dev_size=0.0).collect()}[None] == "train"
+
+
 def test_three_way_sizes(spark):
     n = 1000
     d = spark.range(n).withColumnRenamed("id", "ord")
