@@ -18,7 +18,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -126,21 +126,37 @@ def vocab_build(texts: DataFrame, cols: Sequence[str] = ("input", "target")) ->
     return v.withColumn("token_id", (F.col("rank") + N_SPECIAL).cast("int"))
 
 
-def _encode_col(df: DataFrame, key: str, col: str, vocab: DataFrame, max_len: int,
-                pad_id: int, prefix: str) -> DataFrame:
-    """Token ids (truncated + EOS + padded) and attention mask for one column."""
-    toks = df.select(key, F.posexplode(F.slice(T.ws_tokens(col), 1, max_len - 1)).alias("_pos", "word"))
-    ids = toks.join(vocab.select("word", "token_id"), "word", "left") \
-              .withColumn("token_id", F.coalesce(F.col("token_id"), F.lit(UNK_ID)))
-    per = ids.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_pos", "token_id"))).alias("_t"))
-    per = per.select(key, F.transform("_t", lambda x: x["token_id"]).alias("_ids"))
-    base = df.select(key).join(per, key, "left") \
-             .withColumn("_ids", F.coalesce(F.col("_ids"), F.array().cast("array<int>")))
-    body = F.concat(F.col("_ids"), F.array(F.lit(EOS_ID)))
-    n = F.size(body)
-    padded = F.concat(body, F.array_repeat(F.lit(pad_id), F.lit(max_len) - n))
-    mask = F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), F.lit(max_len) - n))
-    return base.select(key, padded.alias(f"{prefix}_ids"), mask.alias(f"{prefix}_mask"))
+#: Words that are looked up by broadcast, and counters of the sketch that finds them: a word outside has at most about
+#: one in ``SKETCH_COUNTERS`` of all tokens.
+HEAVY_WORDS, SKETCH_COUNTERS = 4096, 16384
+
+
+def heavy_words(tokens: DataFrame, words: int = HEAVY_WORDS, counters: int = SKETCH_COUNTERS) -> DataFrame:
+    """word: the most frequent words by a frequent-items sketch, ``words`` rows at most.
+
+    A task keeps ``counters`` counters whatever it reads, and they are merged,
+    so a word of a third of all tokens is one counter a task.
+    """
+    top = tokens.where(F.col("word").isNotNull()).agg(F.expr(f"approx_top_k(word, {words}, {counters})").alias("top"))
+    return top.select(F.explode(F.transform("top", lambda x: x["item"])).alias("word"))
+
+
+def word_ids(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
+    """``tokens`` (word, any others) with ``token_id``: heavy words by broadcast, the rest by a shuffle; unknown words get UNK_ID.
+
+    In the shuffle a heavy word's rows have no key but a salt, so they spread
+    evenly and stay where they fall. Null words get a null id.
+    """
+    ids = vocab.select(F.col("word").alias("_w"), "token_id")
+    heavy = heavy_words(tokens).join(ids, F.col("word") == F.col("_w"), "left").select(
+        F.col("word").alias("_heavy"), F.coalesce("token_id", F.lit(UNK_ID)).alias("_heavy_id"))
+    met = tokens.join(F.broadcast(heavy), F.col("word") == F.col("_heavy"), "left")
+    rare = F.col("_heavy").isNull() & F.col("word").isNotNull()
+    salt = F.when(rare, 0).otherwise(F.pmod(F.xxhash64(*[c for c in tokens.columns if c != "word"]), F.lit(1 << 20)).cast("int"))
+    met = met.withColumn("_key", F.when(rare, F.col("word"))).withColumn("_salt", salt)
+    out = met.join(ids.withColumn("_zero", F.lit(0)), (F.col("_key") == F.col("_w")) & (F.col("_salt") == F.col("_zero")), "left")
+    found = F.when(F.col("word").isNotNull(), F.coalesce("_heavy_id", "token_id", F.lit(UNK_ID)))
+    return out.select(*tokens.columns, found.cast("int").alias("token_id"))
 
 
 def encode_fixed_length(df: DataFrame, vocab: DataFrame, key: str = "id", max_src_len: int = 64,
@@ -148,9 +164,29 @@ def encode_fixed_length(df: DataFrame, vocab: DataFrame, key: str = "id", max_sr
     """input_ids / attention_mask (max_src_len) and labels (max_tgt_len).
 
     Labels are padded with the pad id by default; ``label_pad=-100`` gives
-    the loss-masked form.
+    the loss-masked form. ``key`` is unique per row. Both columns' tokens,
+    truncated first, go through one lookup (``word_ids``) and one aggregate,
+    which gathers ``max_src_len + max_tgt_len`` ids a row at most.
     """
-    src = _encode_col(df, key, "input", vocab, max_src_len, PAD_ID, "input")
-    tgt = _encode_col(df, key, "target", vocab, max_tgt_len,
-                      PAD_ID if label_pad is None else label_pad, "labels")
-    return src.join(tgt, key).withColumnRenamed("input_mask", "attention_mask").drop("labels_mask")
+    sides = (("input", max_src_len, PAD_ID), ("target", max_tgt_len, PAD_ID if label_pad is None else label_pad))
+    null = F.lit(None).cast("string")
+    # a row without words still has the null word of each side
+    def words(i: int, c: str, n: int) -> Column:
+        kept = F.slice(F.coalesce(T.ws_tokens(c), F.array().cast("array<string>")), 1, n - 1)
+        return F.concat(F.array(F.struct(F.lit(i).alias("_side"), F.lit(-1).alias("_pos"), null.alias("word"))),
+                        F.transform(kept, lambda w, at: F.struct(F.lit(i).alias("_side"), at.alias("_pos"), w.alias("word"))))
+
+    ids = word_ids(df.select(key, F.inline(F.concat(*[words(i, c, n) for i, (c, n, _) in enumerate(sides)]))), vocab)
+    rows = ids.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_side", "_pos", "token_id"))).alias("_t"))
+
+    def body(i: int) -> Column:
+        mine = F.filter("_t", lambda x: (x["_side"] == i) & (x["_pos"] >= 0))
+        return F.concat(F.transform(mine, lambda x: x["token_id"]), F.array(F.lit(EOS_ID)))
+
+    def padded(c: Column, n: int, pad: int) -> Column:
+        return F.concat(c, F.array_repeat(F.lit(pad), F.lit(n) - F.size(c)))
+
+    (_, n, pad), (_, m, label) = sides
+    return rows.select(key, padded(body(0), n, pad).alias("input_ids"),
+                       padded(F.transform(body(0), lambda x: F.lit(1)), n, 0).alias("attention_mask"),
+                       padded(body(1), m, label).alias("labels_ids"))

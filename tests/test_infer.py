@@ -59,3 +59,37 @@ def test_encode_cuts_long_rows_before_the_join(spark):
     vocab = infer.vocab_build(d)
     e = infer.encode_fixed_length(d, vocab, "id", 16, 8).first()
     assert e.input_ids == [infer.N_SPECIAL] * 15 + [infer.EOS_ID]
+
+
+def test_word_ids_by_sketch_and_shuffle(spark, monkeypatch):
+    import random
+    rng = random.Random(2)
+    words = ["the"] * 700 + [f"w{rng.randrange(300)}" for _ in range(1300)] + ["unseen"] * 50 + [None] * 20
+    d = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "id long, word string").repartition(6)
+    vocab = spark.createDataFrame([("the", 3), *[(f"w{i}", 4 + i) for i in range(290)]], "word string, token_id int")
+    ids = {r["word"]: r.token_id for r in vocab.collect()}
+    for few in (1, 2, 4096):
+        monkeypatch.setattr(infer.heavy_words, "__defaults__", (few, 8192))
+        found = [r["word"] for r in infer.heavy_words(d).collect()]
+        assert len(found) <= few and found[0] == "the"
+        got = {r.id: r.token_id for r in infer.word_ids(d, vocab).collect()}
+        assert got == {i: None if w is None else ids.get(w, infer.UNK_ID) for i, w in enumerate(words)}
+
+
+def test_a_word_of_most_tokens_is_in_no_single_task(spark):
+    d = spark.range(4000).select("id", F.lit("hot").alias("word")).union(spark.range(100).select("id", F.col("id").cast("string")))
+    vocab = spark.createDataFrame([("hot", 3)], "word string, token_id int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = [r["count"] for r in infer.word_ids(d, vocab).groupBy(F.spark_partition_id()).count().collect()]
+        assert max(sizes) < 2 * 4100 / 8
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_encode_null_texts(spark):
+    d = spark.createDataFrame([(0, None, "x"), (1, "x", None)], "id long, input string, target string")
+    e = {r.id: r for r in infer.encode_fixed_length(d, infer.vocab_build(d), "id", 3, 2).collect()}
+    assert e[0].input_ids == [infer.EOS_ID, 0, 0] and e[1].labels_ids == [infer.EOS_ID, 0] and e[0].labels_ids == [3, infer.EOS_ID]
