@@ -6,11 +6,13 @@ or lower its score. Positions come from the pieces between the matches
 patterns use possessive repeats and start only where a run starts: they match
 what their plain forms match, in linear time and constant stack. Of an IBAN
 the pattern proposes the head only; where it ends is for its check digits to
-say, among the places where a group ends.
+say, among the places where a group ends. An IBAN that starts inside another
+is part of it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -49,6 +51,8 @@ THRESHOLD, NEARBY, BONUS = 0.5, 40, 0.3
 AGAINST = "order|invoice|serial|version|build"
 #: What may follow an IBAN's head: up to 30 characters, a space before each.
 _IBAN_REST, _IBAN_REACH = r"^(?:\x20?+[A-Z0-9]){11,30}+", 60
+#: Heads that can lie in the longest IBAN.
+_IBAN_HEADS = (4 + _IBAN_REACH) // 4
 #: Registered lengths, without spaces; they only choose among several prefixes that pass mod-97.
 _IBAN_LENGTHS = (
     "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 "
@@ -111,6 +115,52 @@ def _iban(head: Column, after: Column) -> Column:
 
 
 _EMPTY = "array<struct<start:int,end:int,kind:int,score:double>>"
+#: Items of a scan's chunk, and code points of a text's blocks.
+_CHUNK, _BLOCK = 64, 1024
+
+
+def _bound(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn(value)`` with the value made once: inside lambdas a variable costs nothing, an expression is made at each use."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
+def _before(items: Column, value: Callable[[Column], Column], merge: Callable[[Column, Column], Column]) -> Column:
+    """For each of the bound, not empty ``items`` the merged values of all before it, from 0.
+
+    Chunks are merged first, then their merges, so an item costs its chunk
+    and not all before it. (A list in an aggregate's state would be copied at
+    each step.)
+    """
+    n, zero = F.size(items), F.lit(0)
+
+    def over(first: Column, last: Column, start: Column, at: Callable[[Column], Column]) -> Column:
+        return F.when(last < first, start).otherwise(F.aggregate(F.sequence(first, last), start, lambda s, j: merge(s, at(j))))
+
+    def chunk(i: Column) -> Column:
+        return F.floor((i - 1) / _CHUNK).cast("int")
+
+    def item(j: Column) -> Column:
+        return value(F.element_at(items, j))
+
+    whole = F.transform(F.sequence(zero, chunk(n)), lambda k: over(k * _CHUNK + 1, F.least(n, (k + 1) * _CHUNK), zero, item))
+    return _bound(whole, lambda t: _bound(
+        F.transform(F.sequence(F.lit(1), F.size(t)), lambda k: over(F.lit(1), k - 1, zero, lambda j: F.element_at(t, j))),
+        lambda heads: F.transform(F.sequence(F.lit(1), n), lambda i: over(
+            chunk(i) * _CHUNK + 1, i - 1, F.element_at(heads, chunk(i) + 1), item))))
+
+
+def _blocks(text: Column) -> Column:
+    """A text in blocks of ``_BLOCK`` code points, so that a place in it is found without a walk from its start."""
+    return F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{_BLOCK}}}"), F.lit(0))
+
+
+def _cut(blocks: Column, start: Column, end: Column) -> Column:
+    """The code points from ``start`` to ``end`` of a text in blocks."""
+    first, last = (F.floor(x / _BLOCK).cast("int") for x in (start, end))
+    head = F.substring(F.coalesce(F.try_element_at(blocks, first + 1), F.lit("")), start % _BLOCK + 1, F.least(end - start, F.lit(_BLOCK)))
+    rest = F.concat(F.array_join(F.slice(blocks, first + 2, F.greatest(last - first - 1, F.lit(0))), ""),
+                    F.substring(F.coalesce(F.try_element_at(blocks, last + 1), F.lit("")), F.lit(1), end % _BLOCK))
+    return F.when(first == last, head).otherwise(F.concat(head, rest))
 
 
 def _spans(text: Column, order: int) -> Column:
@@ -122,30 +172,30 @@ def _spans(text: Column, order: int) -> Column:
     after = F.regexp_extract_all(text, F.lit(rf"(?:{k.pattern})(?=((?s:.{{0,{reach}}})))"), F.lit(1))
     between = F.slice(F.split(text, k.pattern, -1), F.lit(1), F.size(found))
     rows = F.transform(F.arrays_zip(between.alias("gap"), found.alias("m"), after.alias("after")), lambda x: F.struct(
-        x["gap"].alias("gap"), x["m"].alias("m"), x["after"].alias("after"),
+        F.length(x["gap"]).alias("gap"), (F.length(x["gap"]) + F.length(x["m"])).alias("step"), x["m"].alias("m"), x["after"].alias("after"),
         (_iban(x["m"], x["after"]) if k.name == "iban" else F.when(_confirmed(k.name, x["m"]), x["m"])).alias("whole")))
-    # running position, the text just before it, and where the last accepted match ends
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.lit(0).alias("end"),
-                     F.array().cast("array<struct<start:int,m:string,before:string,after:string>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        before = F.right(F.concat(acc["tail"], x["gap"]), F.lit(NEARBY))
-        rest = F.substring(x["after"], F.length(x["whole"]) - F.length(x["m"]) + 1, F.lit(NEARBY))
-        item = F.struct(start.alias("start"), x["whole"].alias("m"), before.alias("before"), rest.alias("after"))
-        good = x["whole"].isNotNull() & (start >= acc["end"])
-        return F.struct((start + F.length(x["m"])).alias("at"), F.right(F.concat(before, x["m"]), F.lit(NEARBY)).alias("tail"),
-                        F.when(good, start + F.length(x["whole"])).otherwise(acc["end"]).alias("end"),
-                        F.when(good, F.concat(acc["out"], F.array(item))).otherwise(acc["out"]).alias("out"))
-
-    placed = F.aggregate(rows, state, step, lambda acc: acc["out"])
+
+    def positioned(r: Column, blocks: Column) -> Column:
+        sums = _before(r, lambda x: x["step"], lambda a, b: a + b)
+        return F.filter(F.zip_with(r, sums, lambda x, at: F.when(x["whole"].isNotNull(), F.struct(
+            (at + x["gap"]).alias("start"), (at + x["gap"] + F.length(x["whole"])).alias("end"),
+            _cut(blocks, F.greatest(F.lit(0), at + x["gap"] - NEARBY), at + x["gap"]).alias("before"),
+            F.substring(x["after"], F.length(x["whole"]) - F.length(x["m"]) + 1, F.lit(NEARBY)).alias("after")))),
+            lambda x: x.isNotNull())
+
+    placed = _bound(rows, lambda r: _bound(_blocks(text), lambda b: positioned(r, b)))
+    if k.name == "iban":  # one that starts inside another is part of it; heads are four apart or more
+        def apart(spans: Column) -> Column:
+            return F.filter(spans, lambda x, i: ~F.exists(F.sequence(F.greatest(F.lit(0), i - _IBAN_HEADS), i), lambda j: (
+                (j < i) & (F.get(spans, j)["end"] > x["start"]))))
+        placed = _bound(placed, apart)
 
     def scored(x: Column) -> Column:
         near = F.lower(F.concat_ws(" ", x["before"], x["after"]))
         score = F.lit(k.base) + F.when(near.rlike(k.words), BONUS).otherwise(0.0)
         if k.name not in BASE_KINDS:
             score = score - F.when(near.rlike(AGAINST), BONUS).otherwise(0.0)
-        return F.struct(x["start"].alias("start"), (x["start"] + F.length(x["m"])).alias("end"),
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"),
                         F.lit(order).alias("kind"), F.least(F.lit(1.0), score).alias("score"))
 
     spans = F.filter(F.transform(placed, scored), lambda s: s["score"] >= THRESHOLD)
@@ -186,21 +236,19 @@ def span_count(spans: Column, kind: str) -> Column:
 def redacted(text: Column, spans: Column) -> Column:
     """The text with each span replaced by its kind in angle brackets; overlapping spans become one, named by the first."""
     names = F.array(*[F.lit(f"<{k.name.upper()}>") for k in KINDS])
-    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        fresh = F.concat(acc["parts"], F.array(gap, F.element_at(names, s["kind"] + 1)))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"),
-                        F.when(s["start"] >= acc["at"], fresh).otherwise(acc["parts"]).alias("parts"))
-
-    def whole(acc: Column) -> Column:
-        return F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["at"] + 1, F.length(text)))
+    def parts(all_spans: Column, blocks: Column) -> Column:
+        return _bound(_before(all_spans, lambda s: s["end"], F.greatest), lambda done: F.concat(
+            F.array_join(F.zip_with(all_spans, done, lambda s, at: F.when(s["start"] >= at, F.concat(
+                _cut(blocks, at, s["start"]), F.element_at(names, s["kind"] + 1))).otherwise("")), ""),
+            F.substring(text, F.greatest(F.element_at(done, -1), F.element_at(all_spans, -1)["end"]) + 1, F.length(text))))
 
-    return F.when(F.size(spans) > 0, F.aggregate(spans, state, step, whole)).otherwise(text)
+    return F.when(F.size(spans) > 0, _bound(spans, lambda s: _bound(_blocks(text), lambda b: parts(s, b)))).otherwise(text)
 
 
 def redact_pii(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """``df`` with the personal data in ``text_col`` masked; null stays null, all other columns as they are."""
-    found = find_pii(df, text_col, "__pii")
-    return found.withColumn(text_col, redacted(F.col(text_col), F.col("__pii"))).drop("__pii")
+    """``df`` with the personal data in ``text_col`` masked; null stays null, all other columns as they are, whatever their names."""
+    out_col = "__pii"
+    while out_col in df.columns:
+        out_col += "_"
+    found = find_pii(df, text_col, out_col)
+    return found.withColumn(text_col, redacted(F.col(text_col), F.col(out_col))).drop(out_col)
