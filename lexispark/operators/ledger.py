@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,11 +42,21 @@ def keyword_preservation(df: DataFrame, group: Sequence[str] = ("system",),
         F.count(F.lit(1)).alias("n"))
 
 
+def file_headers(spark: SparkSession, paths: Sequence[str]) -> list[tuple[str, str]]:
+    """(path, first line) of each file under ``paths`` that has a line, by path; one job, one row a file to the driver."""
+    lines = spark.read.text(list(paths)).select(
+        "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at")).where("block = 0")
+    first = lines.groupBy("path").agg(F.min_by("value", "at").alias("header")).collect()
+    return sorted((unquote(r["path"]), r["header"]) for r in first)
+
+
 def read_result_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Union result CSVs of drifted layouts by name; ``input`` -> ``source``.
 
-    Only the headers are read one by one; files of one layout share one scan
-    with string columns, ``id`` and scores cast afterwards. The columns
+    One job finds the header of every file, and files of one layout share one
+    scan with string columns, ``id`` and scores cast afterwards, so the number
+    of jobs does not depend on that of the files. The columns
     ``pair`` and ``variant`` come from the file's name
     (``{prefix}_{xx}_{yy}[_{variant}]_eval.csv``), ``family`` from the folder
     above it or above its pair folder, ``folder_pair`` from the latter (empty
@@ -52,9 +64,9 @@ def read_result_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """
     from ..sources import io
     layouts: dict[tuple[str, ...], list[str]] = {}
-    for p in paths:
-        header = io.read_csv(spark, p, with_ord=False, multiline=True, inferSchema=False).columns
-        layouts.setdefault(tuple(header), []).append(p)
+    if paths:
+        for path, header in file_headers(spark, paths):
+            layouts.setdefault(tuple(next(csv.reader([header.removeprefix("\ufeff").rstrip("\r")]))), []).append(path)
     out = None
     for cols, files in layouts.items():
         schema = T_.StructType([T_.StructField(c, T_.StringType()) for c in cols])

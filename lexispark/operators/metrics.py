@@ -22,10 +22,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T_
 
 from ..functions import text as T
+from ..session import stored
 
 MAX_N = 4
 #: Parts that a hot key's rows are split into where they join a small table.
 SALTS = 32
+#: Systems whose scores are broadcast.
+FEW_SYSTEMS = 10_000
 # The BLEU configuration string reported with the score.
 BLEU_SIGNATURE = "nrefs:1|case:mixed|eff:no|tok:13a|smooth:exp"
 
@@ -237,16 +240,18 @@ def comet_rollup(df: DataFrame, group: Sequence[str] = ("system",),
                  seg: str = "comet_score_segment") -> DataFrame:
     """A9 + P6: system score = mean segment score, attached to every row.
 
-    The per-system table is an aggregate (map-side partial). Systems are few
-    and so hot keys of the join back: rows are salted by their content and the
-    scores repeated per salt, so no task gets a whole system even where the
-    join is not turned into a broadcast. Rows with a null key get no score.
+    The per-system table is an aggregate (map-side partial), stored once and
+    counted: up to ``FEW_SYSTEMS`` rows are broadcast, so no row of ``df`` moves.
+    Beyond that, rows are salted by their content and the scores repeated per
+    salt, so that no task gets a whole system. Rows with a null key get no score.
     """
-    sys_scores = df.groupBy(*group).agg(F.avg(seg).alias("comet_score_system")) \
-                   .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    scores = stored(df.groupBy(*group).agg(F.avg(seg).alias("comet_score_system")), "scores")
+    if scores.limit(FEW_SYSTEMS + 1).count() <= FEW_SYSTEMS:
+        return df.join(F.broadcast(scores), [*group], "left")
+    salts = scores.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in df.columns]),
                                            F.lit(SALTS)).cast("int"))
-    return salted.join(sys_scores, [*group, "_salt"], "left").drop("_salt")
+    return salted.join(salts, [*group, "_salt"], "left").drop("_salt")
 
 
 def comet_triples(df: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import clean, rank, split
+from ..session import stored
 
 REQUIRED = ("source", "src_lang", "target", "tgt_lang", "actual_volume")
 
@@ -78,34 +79,34 @@ def upweighted_train(labelled: DataFrame) -> DataFrame:
 
 
 def stage_funnel(df: DataFrame, cfg: PrepConfig = PrepConfig()) -> DataFrame:
-    """K5: (stage, rows) for every stage, from two aggregations.
+    """K5: (step, stage, rows) for every stage, from one scan and one run of L1.
 
-    Row-local stages are counted in one pass with ``count_if`` over the
-    cumulative predicates; the set-level stages from the labelled result.
+    The aggregate that removes duplicates counts what falls before it too: a
+    row that a filter drops goes, without its text, to that filter's own
+    group, combined on the map side. Its result is written once; the counts up
+    to the duplicates are sums over it, the later ones over the split result.
+    (Counters of a running job could count a task twice that is run again.)
     """
-    a = annotate(df, cfg)
-    pre = a.agg(
-        F.count(F.lit(1)).alias("input"),
-        F.count_if(F.col("_vol_ok")).alias("min_volume"),
-        F.count_if(F.col("_vol_ok") & F.col("_len_ok")).alias("length_band"),
-        F.count_if(F.col("_vol_ok") & F.col("_len_ok") & F.col("_valid")).alias("valid_candidate"),
-    )
-    f = filtered(df, cfg)
-    dd = clean.dedup_keep_first(f, ["source", "target_norm"], "ord")
-    n_dedup = dd.agg(F.count(F.lit(1)).alias("dedup_keep_first"))
-    lab = with_split(rank.topk_per_source(dd, cfg.topk_per_source), cfg)
-    post = lab.agg(
-        F.count(F.lit(1)).alias("clean_full"),
-        F.count_if(F.col("split") == "train").alias("train"),
-        F.count_if(F.col("split") == "eval").alias("eval"),
-    )
+    clean.require_columns(df, REQUIRED)
+    marked = annotate(df, cfg)
+    fell = F.when(~F.col("_vol_ok"), 1).when(~F.col("_len_ok"), 2).when(~F.col("_valid"), 3).otherwise(0).alias("_fell")
+    keys = ["source", "target_norm"]
+    rest = [c for c in marked.columns if c not in (*keys, "ord", "_vol_ok", "_len_ok", "_valid")]
+    held = lambda c: F.when(F.col("_fell") == 0, F.col(c))
+    marked = marked.select(fell, "ord", *keys, *rest)
+    first = F.min(F.struct(*[held(c).alias(c) for c in ("ord", *rest)])).alias("_first")
+    groups = stored(marked.groupBy("_fell", *[held(c).alias(c) for c in keys]).agg(first, F.count(F.lit(1)).alias("_n")), "funnel")
+    kept = groups.where("_fell = 0").select(*keys, "_first.*")
+    passed = lambda *by: F.coalesce(F.sum(F.when(~F.col("_fell").isin(*by), F.col("_n"))), F.lit(0)).alias("rows")
+    pre = groups.agg(F.array(passed(-1), passed(1), passed(1, 2), passed(1, 2, 3), F.count_if(F.col("_fell") == 0)).alias("rows"))
+    lab = with_split(rank.topk_per_source(kept, cfg.topk_per_source), cfg)
+    post = lab.agg(F.array(F.count(F.lit(1)), F.count_if(F.col("split") == "train"), F.count_if(F.col("split") == "eval")).alias("rows"))
     stages = ["input", "min_volume", "length_band", "valid_candidate",
               "dedup_keep_first", "clean_full", "train", "eval"]
-    wide = pre.crossJoin(n_dedup).crossJoin(post)   # three one-row frames
-    pairs = F.array(*[F.struct(F.lit(i).alias("step"), F.lit(s).alias("stage"),
-                               F.col(s).cast("long").alias("rows"))
-                      for i, s in enumerate(stages)])
-    return wide.select(F.inline(pairs))
+    names = F.array(*[F.lit(s) for s in stages])
+    out = [d.select(F.posexplode("rows").alias("at", "rows")).select((F.col("at") + F.lit(start)).cast("int").alias("step"), "rows")
+           for d, start in ((pre, 0), (post, 5))]
+    return out[0].unionByName(out[1]).select("step", F.element_at(names, F.col("step") + 1).alias("stage"), F.col("rows").cast("long").alias("rows"))
 
 
 def write_outputs(df: DataFrame, out_dir: str, cfg: PrepConfig = PrepConfig(),

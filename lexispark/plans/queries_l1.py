@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import oracle as O
 from ..functions import text as T
-from ..operators import clean, rank, split
+from ..operators import clean, split
 from ..sources import fixtures as fx
 from . import prepare as P
 from .catalog import register
@@ -70,17 +70,17 @@ def q_group_split(spark, sf):
 @register("semi_join_train", _SPLIT_SQL
           + f"select {L1_COLS} from l1_full where source in (select source from lab where split = 'train')")
 def q_semi_join_train(spark, sf):
-    full = P.clean_full(fx.kw(spark, sf), CFG)
-    train_src = P.with_split(full, CFG).where(F.col("split") == "train").select("source").distinct()
-    return split.semi_join(full, train_src, "source")
+    lab = P.with_split(P.clean_full(fx.kw(spark, sf), CFG), CFG)  # stored by the split, so L1 runs once
+    train_src = lab.where(F.col("split") == "train").select("source").distinct()
+    return split.semi_join(lab.drop("split"), train_src, "source")
 
 
 @register("anti_join_eval", _SPLIT_SQL
           + f"select {L1_COLS} from l1_full where source not in (select source from lab where split = 'train')")
 def q_anti_join_eval(spark, sf):
-    full = P.clean_full(fx.kw(spark, sf), CFG)
-    train_src = P.with_split(full, CFG).where(F.col("split") == "train").select("source").distinct()
-    return split.anti_join(full, train_src, "source")
+    lab = P.with_split(P.clean_full(fx.kw(spark, sf), CFG), CFG)  # stored by the split, so L1 runs once
+    train_src = lab.where(F.col("split") == "train").select("source").distinct()
+    return split.anti_join(lab.drop("split"), train_src, "source")
 
 
 _BUCKET_SQL = """case when actual_volume is null or actual_volume <= -1 then null
@@ -185,13 +185,16 @@ def q_sort_source_volume(spark, sf):
     return ordered.select("ord", "pos")
 
 
-@register("valid_candidate_pandas_mode", O.l1(K) + f"select {L1_COLS} from l1_full")
+@register("valid_candidate_pandas_mode", O.with_(O.KW_SQL.replace("kw as (", "kw_all as ("),
+          """kw as (select ord, case when ord % 13 = 0 then 'nan' else source end as source, src_lang,
+  case when ord % 9 = 0 then 'nan' else target end as target, tgt_lang, volume, actual_volume from kw_all)""",
+          O.l1_filtered(), O.L1_DEDUP, O.l1_topk(K)) + f"select {L1_COLS} from l1_full")
 def q_pandas_mode(spark, sf):
-    """The same L1 result under missing='pandas' (fixture has no missing text)."""
-    return P.clean_full(fx.kw(spark, sf), P.PrepConfig(topk_per_source=K, missing="pandas"))
-
-
-__all__ = ["rank"]
+    """L1 under missing='pandas': missing sources and targets become the text 'nan' and stay."""
+    kw = fx.kw(spark, sf)
+    holes = kw.withColumn("source", F.when(F.col("ord") % 13 != 0, F.col("source"))) \
+              .withColumn("target", F.when(F.col("ord") % 9 != 0, F.col("target")))
+    return P.clean_full(holes, P.PrepConfig(topk_per_source=K, missing="pandas"))
 
 
 @register("distinct_sources", O.l1(K) + "select distinct source from l1_full")

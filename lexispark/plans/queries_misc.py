@@ -191,6 +191,24 @@ def q_family_lang_route(spark, sf):
     return d.withColumn("code", L.family_code("family", "flores", on_error="null"))
 
 
+_PAIR_CODE = """case family when 'mbart50' then case {x} when 'deu_Latn' then 'de_DE' when 'eng_Latn' then 'en_XX' when 'nld_Latn' then 'nl_XX' end
+  when 'm2m100' then case {x} when 'deu_Latn' then 'de' when 'eng_Latn' then 'en' when 'nld_Latn' then 'nl' end end"""
+
+
+@register("family_pair_route", O.with_(O.KW_SQL) + f""", r as (
+select ord, case ord % 3 when 0 then 'mbart50' when 1 then 'm2m100' else 'helsinki' end as family,
+  {_FL.format(x='substr(src_lang, 1, 2)')} as a, {_FL.format(x='substr(tgt_lang, 1, 2)')} as b from kw),
+c as (select *, {_PAIR_CODE.format(x='a')} as ca, {_PAIR_CODE.format(x='b')} as cb from r)
+select ord, family, case when ca is not null and cb is not null then ca end as src, case when ca is not null and cb is not null then cb end as tgt from c""")
+def q_family_pair_route(spark, sf):
+    """Both languages' codes of a pair: where one is missing, neither is given."""
+    fam = F.array(*[F.lit(f) for f in L.FAMILIES])[(F.col("ord") % 3).cast("int")]
+    short = F.create_map(*[F.lit(x) for kv in L.FLORES_CODE.items() for x in kv])
+    code = {c: F.try_element_at(short, F.substring(c, 1, 2)) for c in ("src_lang", "tgt_lang")}
+    pair = L.family_pair(fam, code["src_lang"], code["tgt_lang"], on_error="null")
+    return fx.kw(spark, sf).select("ord", fam.alias("family"), pair["src"].alias("src"), pair["tgt"].alias("tgt"))
+
+
 # ---- L2: candidates ---------------------------------------------------------------
 
 _NBEST = f"""q as (select * from kw_query where source is not null and lower(source) <> 'source'

@@ -38,15 +38,19 @@ def prepare_stream(stream: DataFrame, cfg: prepare.PrepConfig = prepare.PrepConf
 
 def start_csv_stream(spark: SparkSession, in_dir: str, schema: str, out_dir: str,
                      cfg: prepare.PrepConfig = prepare.PrepConfig(),
-                     checkpoint: str | None = None, available_now: bool = True) -> StreamingQuery:
+                     checkpoint: str | None = None, available_now: bool = True,
+                     watermark_col: str | None = None, delay: str = "1 day") -> StreamingQuery:
     """Read CSV files as they land in ``in_dir``; append Parquet partitioned by split.
 
+    ``watermark_col``, a timestamp column of ``schema``, and ``delay`` bound
+    the state as in ``prepare_stream``.
+
     The checkpoint lives in the shared checkpoint folder, so a restarted
     driver (or lost executors) resume exactly where the last batch ended.
     """
     src = (spark.readStream.schema(schema).option("header", True).option("quote", '"')
            .option("escape", '"').csv(in_dir))
-    out = prepare_stream(src, cfg)
+    out = prepare_stream(src, cfg, watermark_col, delay)
     w = (out.writeStream.format("parquet").outputMode("append").partitionBy("split")
          .option("path", out_dir)
          .option("checkpointLocation", checkpoint or scratch_path(spark, "stream-ckpt")))
