@@ -9,10 +9,14 @@ match the reference at the destination and both the block and that
 reference span are currently mis-aligned.
 
 Pure Python with exact speed-ups: reference positions are looked up by word,
-blocks whose greatest possible gain cannot beat the best move so far are skipped, edit distances of candidate shifts resume
-a bit-parallel Levenshtein (Myers/Hyyro) from the cached state of the
-unchanged prefix, and the alignment of the current hypothesis uses a
-numpy row DP. Called from an Arrow UDF, one segment at a time.
+and blocks whose greatest possible gain cannot beat the best move so far are
+skipped. Edit distances are bit-parallel (Myers/Hyyro): a column of the
+distance table is two bit sets, kept for each prefix of the hypothesis and for
+each suffix: half a byte a cell of the table, and a quarter where no block
+can move. A candidate move steps from the unchanged prefix through the words between the
+block's old and new place only; the unchanged suffix's column then gives the
+distance as the least sum of both. The alignment is traced back through the
+prefix columns. Called from an Arrow UDF, one segment at a time.
 """
 
 from __future__ import annotations
@@ -24,6 +28,8 @@ import numpy as np
 # Published TER shift constraints.
 MAX_SHIFT_SIZE = 10
 MAX_SHIFT_DIST = 50
+#: Suffix words that are stepped through rather than looked up.
+FEW_WORDS = 40
 
 
 class _Levenshtein:
@@ -73,42 +79,48 @@ class _Levenshtein:
             s = self.step(s, w)
         return s[2]
 
-
-def _alignment(hyp: list[int], ref: list[int]):
-    """Edit distance plus alignment: ref position -> hyp position for
+    def cell(self, states, i: int, j: int) -> int:
+        """The distance of the first ``i`` reference words from the first ``j`` hypothesis words."""
+        vp, vn, _ = states[j]
+        below = (1 << i) - 1
+        return j + (vp & below).bit_count() - (vn & below).bit_count()
+
+    def column(self, state, words: int) -> np.ndarray:
+        """Distances of all reference prefixes from a hypothesis of ``words`` words."""
+        size = -(-self.m // 8)
+        up, down = (np.unpackbits(np.frombuffer(state[k].to_bytes(size, "little"), np.uint8), count=self.m, bitorder="little")
+                    for k in (0, 1))
+        out = np.empty(self.m + 1, np.int32)
+        out[0] = words
+        np.cumsum(up.astype(np.int8) - down.astype(np.int8), dtype=np.int32, out=out[1:])
+        out[1:] += words
+        return out
+
+
+def _alignment(hyp: list[int], ref: list[int], lev: _Levenshtein, states: list):
+    """Alignment of the words: ref position -> hyp position for
     matches/substitutions, and per-position error flags."""
-    n, m = len(hyp), len(ref)
-    ref_a = np.asarray(ref, dtype=np.int32)
-    rng = np.arange(m + 1, dtype=np.int32)
-    rows = np.empty((n + 1, m + 1), dtype=np.int32)
-    rows[0] = rng
-    for j in range(1, n + 1):
-        prev = rows[j - 1]
-        tmp = np.empty(m + 1, dtype=np.int32)
-        tmp[0] = j
-        tmp[1:] = np.minimum(prev[1:] + 1, prev[:-1] + (ref_a != hyp[j - 1]))
-        rows[j] = np.minimum.accumulate(tmp - rng) + rng
-    # backtrace, preferring diagonal moves
     align: dict[int, int] = {}
-    hyp_err = [1] * n
-    ref_err = [1] * m
-    j, i = n, m
-    while j > 0 or i > 0:
-        d = rows[j][i]
+    hyp_err = [1] * len(hyp)
+    ref_err = [1] * len(ref)
+    j, i = len(hyp), len(ref)
+    d = states[j][2]
+    while j > 0 or i > 0:  # diagonal moves are preferred, then hypothesis words without partner
         if j > 0 and i > 0:
-            c = 0 if hyp[j - 1] == ref[i - 1] else 1
-            if d == rows[j - 1][i - 1] + c:
+            before, c = lev.cell(states, i - 1, j - 1), int(hyp[j - 1] != ref[i - 1])
+            if d == before + c:
                 align[i - 1] = j - 1
                 if c == 0:
                     hyp_err[j - 1] = 0
                     ref_err[i - 1] = 0
-                j, i = j - 1, i - 1
+                j, i, d = j - 1, i - 1, before
                 continue
-        if j > 0 and d == rows[j - 1][i] + 1:
+        if j > 0 and d == lev.cell(states, i, j - 1) + 1:
             j -= 1
         else:
             i -= 1
-    return int(rows[n][m]), align, hyp_err, ref_err
+        d -= 1
+    return align, hyp_err, ref_err
 
 
 def _move(h: list[int], start: int, length: int, dest: int) -> list[int]:
@@ -118,12 +130,32 @@ def _move(h: list[int], start: int, length: int, dest: int) -> list[int]:
     return h[:start] + h[start + length:dest] + block + h[dest:]
 
 
-def _best_shift(hyp, ref, lev: _Levenshtein):
-    cur, align, hyp_err, ref_err = _alignment(hyp, ref)
-    if cur == 0:
-        return 0, hyp
+def _best_shift(hyp, ref, lev: _Levenshtein, back: _Levenshtein):
     states = lev.prefix_states(hyp)
     n, m = len(hyp), len(ref)
+    cur = states[n][2]
+    if cur == 0:
+        return 0, hyp
+    align, hyp_err, ref_err = _alignment(hyp, ref, lev, states)
+    suffixes = None
+    columns: dict[int, np.ndarray] = {}  # of the few places that candidates of one block end at
+
+    def distance(moved: list[int], first: int, last: int) -> int:
+        """From the words of ``moved``, of which those outside [first, last) are the hypothesis' own."""
+        nonlocal suffixes
+        state = states[first]
+        for w in moved[first:last]:
+            state = lev.step(state, w)
+        if n - last <= FEW_WORDS:
+            return lev.resume(state, moved[last:])
+        if suffixes is None:
+            suffixes = back.prefix_states(hyp[::-1])
+        if last not in columns:
+            if len(columns) >= 64:
+                columns.clear()
+            columns[last] = back.column(suffixes[n - last], n - last)[::-1]
+        return int((lev.column(state, last) + columns[last]).min())
+
     places: dict[int, list[int]] = {}
     for r, w in enumerate(ref):
         places.setdefault(w, []).append(r)
@@ -155,8 +187,7 @@ def _best_shift(hyp, ref, lev: _Levenshtein):
                         continue
                     tried.add(dest)
                     moved = _move(hyp, s, length, dest)
-                    p0 = min(s, dest)
-                    gain = cur - lev.resume(states[p0], moved[p0:])
+                    gain = cur - distance(moved, min(s, dest), max(s + length, dest))
                     key = (gain, length, -s, -dest)
                     if best is None or key > best[0]:
                         best = (key, moved)
@@ -186,10 +217,10 @@ def ter_counts(hyp_words: list[str], ref_words: list[str]) -> tuple[int, int]:
     vocab: dict[str, int] = {}
     ref = [vocab.setdefault(w, len(vocab)) for w in ref_words]
     hyp = [vocab.setdefault(w, len(vocab)) for w in hyp_words]
-    lev = _Levenshtein(ref)
+    lev, back = _Levenshtein(ref), _Levenshtein(ref[::-1])
     shifts = 0
     while True:
-        gain, moved = _best_shift(hyp, ref, lev)
+        gain, moved = _best_shift(hyp, ref, lev, back)
         if gain <= 0:
             break
         shifts += 1

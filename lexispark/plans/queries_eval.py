@@ -87,6 +87,16 @@ def q_ter_edit_distance(spark, sf):
     return M.edit_distances(fx.mt(spark, sf)).select("id", "system", "edit_distance")
 
 
+@register("ter_substitutions", O.with_(O.MT_SQL, _TER_TOKENS) + """
+select system, cast(sum((len(r) + 2) // 3) as bigint) as edits, cast(sum(len(r)) as bigint) as ref_words,
+  100 * (cast(sum((len(r) + 2) // 3) as double) / cast(sum(len(r)) as double)) as ter from tk group by system""")
+def q_ter_substitutions(spark, sf):
+    """TER where no shift can help: each third word of the reference is replaced by one that it does not have."""
+    words = F.transform(T.tokenize_ter("target"), lambda w, i: F.when(i % 3 == 0, F.concat(F.lit("\u241e"), w)).otherwise(w))
+    made = fx.mt(spark, sf).withColumn("prediction", F.array_join(words, " "))
+    return M.corpus_ter(made, ["system"]).select("system", "edits", "ref_words", "ter")
+
+
 # The exact stage pairs the k-th last occurrence of a word with the k-th last in the reference.
 _METEOR_EXACT = """hw as (select id, system, unnest(range(len(h))) as p, unnest(h) as w from tk),
 rw as (select id, system, unnest(range(len(r))) as p, unnest(r) as w from tk),
