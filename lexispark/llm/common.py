@@ -70,6 +70,47 @@ def map_columns(df: DataFrame, keep: list[str], fn: Callable[[pa.RecordBatch], d
     return df.mapInArrow(run, schema)
 
 
+#: Bits of the bitmap that tells which rows need no shuffle: 8 MB, whatever the number of ids.
+ID_BITS = 1 << 26
+_ROW_BITS = 32768  # of Spark's bitmap functions
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
+def parted(df: DataFrame, id_col: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``df``'s rows whose id may be among ``ids`` (its first column), and those whose id certainly is not.
+
+    The ids set bits in a bitmap of fixed size, which is broadcast; nothing of
+    ``df`` is shuffled. The first part holds some other rows too, the more the
+    fuller the bitmap, so what uses it must still compare ids. Null ids are
+    in the first part.
+    """
+    def bit(c: Column) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(ID_BITS)) + 1  # from 1, as the bitmap functions count
+
+    row, bits, at = (fresh(df, n) for n in ("__row", "__bits", "__at"))
+    # ID_BITS / 32768 rows of 4 kB
+    made = ids.select(bit(F.col(ids.columns[0])).alias("b")).groupBy(F.bitmap_bucket_number("b").alias(row)).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias(bits))
+    marked = (df.withColumn(row, F.bitmap_bucket_number(bit(F.col(id_col)))).withColumn(at, F.bitmap_bit_position(bit(F.col(id_col))))
+              .join(F.broadcast(made), row, "left"))
+    byte = F.conv(F.hex(F.substring(bits, F.floor(F.col(at) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, (F.col(at) % 8).cast("int")) == 1, F.lit(False)) | F.col(id_col).isNull()
+    return marked.where(hit).select(*df.columns), marked.where(~hit).select(*df.columns)
+
+
+def without_ids(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """``df``'s rows whose id is not among ``ids`` (its first column); only rows that may be are shuffled. Null ids stay."""
+    maybe, rest = parted(df, id_col, ids)
+    gone = ids.select(F.col(ids.columns[0]).alias("__gone"))
+    return rest.unionByName(maybe.join(gone, F.col(f"`{id_col}`") == F.col("__gone"), "left_anti"))
+
+
 def matrix(column: pa.ListArray | pa.ChunkedArray) -> np.ndarray:
     """A list column without nulls, all lists of one length, as a matrix."""
     if isinstance(column, pa.ChunkedArray):

@@ -25,12 +25,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, matrix, sorted_groups, stored
+from .common import map_texts, matrix, parted, sorted_groups, stored, without_ids
 from .graph import connected_components
 
 _SEED = 20240229
 #: Word hashes that a worker keeps before it starts over.
-_CACHE_WORDS = 1_000_000
+_CACHE_WORDS = 200_000
 #: Documents of a bucket that one block holds.
 BLOCK = 256
 #: How far below the threshold a signature's estimate may be; over four standard errors at 144 minima.
@@ -287,6 +287,16 @@ def _merged(comps: DataFrame, links: DataFrame) -> DataFrame:
     return stored(old.unionByName(new), "minhash")
 
 
+def drop_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of ``df`` that ``near_components`` keeps, columns as they were.
+
+    Ids of dropped documents set bits of a bitmap; rows without theirs stay
+    without a shuffle, only the others meet the ids.
+    """
+    gone = stored(near_components(df, id_col, text_col, **how).where("NOT kept AND doc_id IS NOT NULL").select("doc_id"), "minhash")
+    return without_ids(df, id_col, gone)
+
+
 def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, ngram: int = 5, pct: int = 80,
                     rows: int = 5, bands: int = 32) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
@@ -308,9 +318,9 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shared = (keyed.groupBy("key").agg(F.min("doc_id").alias("center"), F.count(F.lit(1)).alias("n"))
               .where("n > 1").drop("n"))
     multi = stored(keyed.join(shared, "key"), "minhash")
-    in_play = multi.select("doc_id").distinct()
     texts = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sets = stored(shingle_sets(texts.join(in_play, "doc_id", "left_semi"), ngram), "minhash")
+    in_play, _ = parted(texts, "doc_id", multi.select("doc_id"))  # texts are not shuffled; some sets more do no harm
+    sets = stored(shingle_sets(in_play.where("doc_id IS NOT NULL"), ngram), "minhash")
     sized = reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("size"))
     star = multi.where("doc_id <> center").groupBy(F.col("doc_id").alias("src")).agg(F.min("center").alias("dst"))
     comps = stored(connected_components(_confirmed(_near_size(star, sized, pct), sets, pct)), "minhash")
