@@ -154,7 +154,8 @@ def word_ids(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
     rare = F.col("_heavy").isNull() & F.col("word").isNotNull()
     salt = F.when(rare, 0).otherwise(F.pmod(F.xxhash64(*[c for c in tokens.columns if c != "word"]), F.lit(1 << 20)).cast("int"))
     met = met.withColumn("_key", F.when(rare, F.col("word"))).withColumn("_salt", salt)
-    out = met.join(ids.withColumn("_zero", F.lit(0)), (F.col("_key") == F.col("_w")) & (F.col("_salt") == F.col("_zero")), "left")
+    zero = F.coalesce(F.pmod(F.col("token_id"), F.lit(1)), F.lit(0))  # a literal would be folded away and the salt with it
+    out = met.join(ids.withColumn("_zero", zero), (F.col("_key") == F.col("_w")) & (F.col("_salt") == F.col("_zero")), "left")
     found = F.when(F.col("word").isNotNull(), F.coalesce("_heavy_id", "token_id", F.lit(UNK_ID)))
     return out.select(*tokens.columns, found.cast("int").alias("token_id"))
 
