@@ -88,11 +88,66 @@ def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repaired_hashes(rows, repair.repairs(rows, given))
 
 
+def _repair_sql() -> str:
+    """op13 as a recursive query: of each state of the grammar (start, after s, after u, after a pair) the least of cost and audit,
+    as one text whose first seven digits are the cost."""
+    crc = """xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, length(k) + 1),
+    lambda i: ascii(substr(k, i, 1))::BIGINT)), lambda c, b: list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+    lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
+    def more(key: str, cost: str, edit: str) -> str:
+        return f"lpad((substr({key}, 1, 7)::INTEGER + {cost})::VARCHAR, 7, '0') || substr({key}, 8) || '{edit}'"
+
+    inserted = f"""least(s2, {more("s0", "2", "I")}, {more("s1", "2", "I")}, {more("s3", "2", "I")}) AS e2,
+  least(s3, {more("s2", "2", "I")}, {more("s0", "4", "II")}, {more("s1", "4", "II")}) AS e3"""
+
+    def stays(states: str, initial: str, rerole: bool = True) -> str:
+        out = [f"CASE WHEN fault NOT IN ('b', 'd') AND initial = '{initial}' THEN {more(e, 'cut', 'K')} END" for e in states.split()]
+        out += [f"CASE WHEN fault NOT IN ('b', 'd') THEN {more(e, '2 + cut', 'R')} END" for e in states.split() if rerole]
+        return ", ".join(out)
+
+    return rf"""WITH RECURSIVE g AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+h AS (SELECT *, {crc} % 20 AS kind FROM g),
+m AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE WHEN kind = 1 THEN ''
+  WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS again FROM h WHERE kind <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), again) AS pos,
+  regexp_extract(text, '([^ 	-])[ 	-]*\z', 1) AS last FROM m),
+f AS (SELECT *, substr(role, 1, 1) AS initial, CASE WHEN last = '' THEN 'b'
+  WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'd' WHEN last NOT IN ('.', '!', '?') THEN 't' ELSE 'n' END AS fault,
+  lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY pos) AS earlier FROM o),
+dp AS (SELECT conv_id, 0::BIGINT AS pos, '0000000' AS s0, NULL::VARCHAR AS s1, NULL::VARCHAR AS s2, NULL::VARCHAR AS s3
+  FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL
+  SELECT conv_id, pos, {more("e0", "3", "D")}, least({more("e1", "3", "D")}, {stays("e0", "s", False)}),
+    least({more("e2", "3", "D")}, {stays("e0 e1 e3", "u")}), least({more("e3", "3", "D")}, {stays("e2", "a")})
+  FROM (SELECT f.conv_id, f.pos, f.initial, f.fault, (f.fault = 't')::INTEGER AS cut, s0 AS e0, s1 AS e1, {inserted}
+    FROM dp JOIN f ON dp.conv_id IS NOT DISTINCT FROM f.conv_id AND f.pos = dp.pos + 1)),
+z AS (SELECT conv_id, least(s0, e3) AS best FROM (SELECT *, {inserted} FROM dp)
+  QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY pos DESC) = 1),
+a AS (SELECT conv_id, substr(best, 1, 7)::BIGINT AS cost, substr(best, 8) AS audit FROM z),
+e AS (SELECT *, substr(audit, p::INTEGER, 1) AS edit, length(replace(substr(audit, 1, p::INTEGER), 'I', '')) AS at
+  FROM (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS p FROM a)),
+w AS (SELECT e.conv_id, p, edit, role, text, row_number() OVER (PARTITION BY e.conv_id ORDER BY p) - 1 AS place FROM e
+  LEFT JOIN f ON e.conv_id IS NOT DISTINCT FROM f.conv_id AND e.at = f.pos AND edit <> 'I' WHERE edit <> 'D'),
+v AS (SELECT *, max((place = 0 AND edit = 'K' AND substr(role, 1, 1) = 's')::INTEGER) OVER (PARTITION BY conv_id) AS head FROM w),
+t AS (SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (place - head) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' ||
+  CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY p) AS body FROM v GROUP BY conv_id),
+n AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps,
+  count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+  count(*) FILTER (earlier IS NOT NULL AND earlier || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, cost, audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM a LEFT JOIN n ON a.conv_id IS NOT DISTINCT FROM n.conv_id LEFT JOIN t ON a.conv_id IS NOT DISTINCT FROM t.conv_id"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_pii, op2_packing, op3_quality, op4_minhash, op5_warc, op6_exact_dedup, op7_chat, op8_embedding, op9_sentencepiece,
     op10_toxicity, op11_token_codes, op12_best_position, op13_repair)}
 
 ORACLE: dict[str, str] = {
+    "op13_repair": _repair_sql(),
     "op6_exact_dedup": r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
 g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
