@@ -113,7 +113,9 @@ m AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role
   WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
   unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS again FROM h WHERE kind <> 0),
 o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), again) AS pos,
-  regexp_extract(text, '([^ 	-])[ 	-]*\z', 1) AS last FROM m),
+  regexp_extract(text, '([^ 	-
+])[ 	-
+]*\z', 1) AS last FROM m),
 f AS (SELECT *, substr(role, 1, 1) AS initial, CASE WHEN last = '' THEN 'b'
   WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'd' WHEN last NOT IN ('.', '!', '?') THEN 't' ELSE 'n' END AS fault,
   lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY pos) AS earlier FROM o),
@@ -148,6 +150,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 
 ORACLE: dict[str, str] = {
     "op13_repair": _repair_sql(),
+    "op4_minhash": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS t FROM documents),
+s AS (SELECT DISTINCT doc_id, sh FROM (SELECT doc_id, unnest(CASE WHEN len(t) = 0 THEN []::VARCHAR[] WHEN len(t) < 3 THEN [array_to_string(t, ' ')]
+  ELSE list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2]) END) AS sh FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+b AS (SELECT p.doc_id AS x, q.doc_id AS y, count(*) AS c FROM s p JOIN s q ON p.sh = q.sh AND p.doc_id <> q.doc_id GROUP BY p.doc_id, q.doc_id),
+l AS (SELECT x, y FROM b JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)),
+r AS (SELECT doc_id AS node, doc_id AS reach FROM documents UNION SELECT r.node, l.y FROM r JOIN l ON r.reach = l.x),
+k AS (SELECT node, min(reach) AS component_id FROM r GROUP BY node)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d JOIN k ON d.doc_id = node LEFT JOIN n ON n.doc_id = d.doc_id""",
     "op6_exact_dedup": r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
 g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
