@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import fresh, parted, stored, text_of
 
 #: Runs that differ from one plain space; replacing only these leaves the same text.
 _RUNS = r"[\x09-\x0D\x20]{2,}|[\x09-\x0D]"
@@ -59,10 +59,18 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_exact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that stay, with their columns as they were."""
-    groups = exact_groups(df, id_col, text_col).select(
-        F.col("content_hash").alias("__h"), F.col("text_sha256").alias("__s"), F.col("keep_id").alias("__k"))
+    """The rows of ``df`` that stay, with their columns as they were, whatever their names.
+
+    Content hashes alone tell which rows have a copy; only these rows'
+    texts are shuffled, to compare bytes and to find the smallest id. Rows
+    with a null id are always compared. What stays is what ``exact_dedup`` keeps.
+    """
+    hashed = stored(df.select(F.col(id_col).alias("doc_id"), content_hash(normalised(text_col)).alias("h")), "exact")
+    several = hashed.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    maybe, alone = parted(df, id_col, hashed.where("doc_id IS NOT NULL").join(several, "h", "left_semi").select("doc_id"))
+    h, s, k = (fresh(df, n) for n in ("__h", "__s", "__k"))
+    groups = exact_groups(maybe, id_col, text_col).select(
+        F.col("content_hash").alias(h), F.col("text_sha256").alias(s), F.col("keep_id").alias(k))
     text = normalised(text_col)
-    cond = ((content_hash(text) == F.col("__h")) & (F.sha2(text, 256) == F.col("__s"))
-            & F.col(id_col).eqNullSafe(F.col("__k")))
-    return df.join(groups, cond, "left_semi")
+    cond = ((content_hash(text) == F.col(h)) & (F.sha2(text, 256) == F.col(s)) & F.col(id_col).eqNullSafe(F.col(k)))
+    return alone.unionByName(maybe.join(groups, cond, "left_semi"))

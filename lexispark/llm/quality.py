@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_columns, map_texts, matrix, stored
+from .common import fresh, map_columns, map_texts, matrix, stored
 from .linear import binned, calibrated, isotonic, normal_equations, ridge
 
 #: Random Fourier features, the Gaussian kernel's width in standard deviations, and the ridge penalty.
@@ -131,3 +131,28 @@ def quality_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     scored = map_columns(stats, ["doc_id"], run, "score double")
     return scored.select("doc_id", (bucket_of() == 0).alias("held_out"), "score",
                          (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_documents(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                   threshold: float = 0.3) -> DataFrame:
+    """The rows of ``df`` that score ``threshold`` or more, columns as they were; all of them without a usable label.
+
+    A row's statistics are stored beside it and scored there, so no text is
+    shuffled. Each row is judged by its own text, also where ids repeat.
+    """
+    name = fresh(df, "__stats")
+
+    @F.pandas_udf("array<double>")
+    def measured(texts: pd.Series) -> pd.Series:
+        return pd.Series([statistics(t) for t in texts])
+
+    rows = stored(df.withColumn(name, measured(F.col(text_col).cast("string"))), "quality")
+    model = fit(rows.select(F.col(id_col).alias("doc_id"), F.col(name).alias("stats")), labels)
+    if model is None:
+        return rows.drop(name)
+
+    @F.pandas_udf("boolean")
+    def accepted(stats: pd.Series) -> pd.Series:
+        return pd.Series(model.score(np.stack(stats)) >= threshold) if len(stats) else pd.Series([], dtype=bool)
+
+    return rows.where(accepted(F.col(name))).drop(name)
