@@ -11,23 +11,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lexispark.llm import exact_dedup, minhash, packing, pii, quality
 from lexispark.llm.common import prepared, stored, table
 from lexispark.llm.queries import WORD_TOKENIZER, vocabulary
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is among ``ids``, a null id matching null; columns as they were."""
-    picked = ids.select(F.col("doc_id").alias("__kept_id"))
-    return docs.join(picked, docs["doc_id"].eqNullSafe(picked["__kept_id"]), "left_semi")
-
-
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go. Without labels all stay."""
-    scores = quality.quality_scores(docs, table(prepared(spark), sf_dir, "labels"))
-    return _only(docs, scores.where("predicted = 1"))
+    return quality.keep_documents(docs, table(prepared(spark), sf_dir, "labels"))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +29,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: five-word shingles, Jaccard similarity 0.8 or more."""
-    found = minhash.near_components(docs, ngram=5, pct=80, rows=5, bands=32)
-    return _only(docs, found.where("kept"))
+    return minhash.drop_near(docs, ngram=5, pct=80, rows=5, bands=32)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
