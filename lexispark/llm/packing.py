@@ -46,7 +46,7 @@ class Encoder:
     normaliser and pre-tokenizer; all others go through it whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = _CACHE):
         import json
 
         import regex
@@ -65,7 +65,7 @@ class Encoder:
 
         class Word(dict):
             def __missing__(self, word: str) -> bytes:
-                if len(self) >= _CACHE:
+                if len(self) >= cache:
                     self.clear()
                 text = word if word.isascii() else word.encode().decode("latin-1").translate(letters)
                 value = self[word] = b"".join([pack(t.id) for t in model.tokenize(text)])
@@ -75,7 +75,7 @@ class Encoder:
 
         class Chunk(dict):
             def __missing__(self, chunk: bytes) -> bytes:
-                if len(self) >= _CACHE:
+                if len(self) >= cache:
                     self.clear()
                 text = chunk.decode("utf-8", "replace")
                 if _VISIBLE.fullmatch(text) and "<|" not in text:
@@ -98,9 +98,9 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, cache: int = _CACHE) -> Encoder:
     if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
+        _ENCODERS[path] = Encoder(path, cache)
     return _ENCODERS[path]
 
 

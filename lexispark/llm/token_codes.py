@@ -36,8 +36,12 @@ from .packing import encoder
 SEGMENT = 1 << 20
 #: A file ends with the document that reaches either bound.
 FILE_IDS, FILE_DOCS = 1 << 24, 1 << 20
+#: Most tasks that read files; beyond it a task reads several.
+READ_TASKS = 100_000
 #: Bits that one entry of a rank directory covers.
 BLOCK = 512
+#: Words and chunks that a writer remembers, beside a segment and the sorted texts' share of memory.
+CACHE = 500_000
 _MAGIC, _TAIL = b"DACTOK01", struct.Struct("<QQQQ8s")
 _LEVELS = 4
 
@@ -229,7 +233,7 @@ def write_token_files(df: DataFrame, tokenizer: str, folder: str, id_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode = encoder(tokenizer)
+        encode = encoder(tokenizer, CACHE)
         store, root = pafs.FileSystem.from_uri(folder)
         prefix = folder.removesuffix("/")[:-len(root)] if folder.removesuffix("/").endswith(root) else ""
         store.create_dir(root, recursive=True)
@@ -299,7 +303,8 @@ def read_token_files(manifest: DataFrame, ids: bool = False) -> DataFrame:
                 yield batch(out)
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * ids
-    return manifest.select("path", "start").repartition("path").mapInArrow(run, schema)
+    files = max(1, manifest.count())  # a row a file; a number keeps small rows from meeting in one task
+    return manifest.select("path", "start").repartition(min(files, READ_TASKS), "path").mapInArrow(run, schema)
 
 
 def tokens_at(manifest: DataFrame, places: DataFrame, place_col: str = "place") -> DataFrame:
