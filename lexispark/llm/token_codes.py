@@ -38,6 +38,8 @@ SEGMENT = 1 << 20
 FILE_IDS, FILE_DOCS = 1 << 24, 1 << 20
 #: Most tasks that read files; beyond it a task reads several.
 READ_TASKS = 100_000
+#: Writing tasks whose files lie together in the manifest.
+LISTED = 64
 #: Bits that one entry of a rank directory covers.
 BLOCK = 512
 #: Words and chunks that a writer remembers, beside a segment and the sorted texts' share of memory.
@@ -261,7 +263,9 @@ def write_token_files(df: DataFrame, tokenizer: str, folder: str, id_col: str =
         cols = list(zip(*made, strict=True)) or [()] * len(names)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
-    files = stored(dealt.mapInArrow(run, "part int, seq int, path string, n_ids long, n_docs long"), "tokens")
+    written = dealt.mapInArrow(run, "part int, seq int, path string, n_ids long, n_docs long")
+    # few Parquet files: each costs processes (Hadoop's chmod); dealt by part, as a part's rows must be of one attempt
+    files = stored(written.repartition(F.floor(F.col("part") / LISTED)), "tokens")
     # one row per file: the running sum moves the manifest, never ids
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     return files.select("path", F.coalesce(F.sum("n_ids").over(before), F.lit(0).cast("long")).alias("start"), "n_ids", "n_docs")
@@ -271,7 +275,8 @@ def read_token_files(manifest: DataFrame, ids: bool = False) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and, with ``ids``, ids (array<long>) from the files.
 
     The checksum is the unsigned crc32 of the ids as little-endian unsigned
-    32-bit integers. Without ``ids`` a task holds one segment of a file.
+    32-bit integers. Without ``ids`` a task holds one segment of a file. Files
+    are dealt evenly, to a task for each ``SEGMENT`` ids or, if these are fewer, each file.
     """
     names = ["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * ids
     types = [pa.int64()] * 4 + [pa.list_(pa.int64())] * ids
@@ -303,8 +308,10 @@ def read_token_files(manifest: DataFrame, ids: bool = False) -> DataFrame:
                 yield batch(out)
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * ids
-    files = max(1, manifest.count())  # a row a file; a number keeps small rows from meeting in one task
-    return manifest.select("path", "start").repartition(min(files, READ_TASKS), "path").mapInArrow(run, schema)
+    files, n_ids = manifest.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_ids"), F.lit(0))).first()
+    # a number keeps small rows from meeting in one task
+    tasks = max(1, min(files, -(-n_ids // SEGMENT), READ_TASKS))
+    return manifest.select("path", "start").repartition(tasks).mapInArrow(run, schema)
 
 
 def tokens_at(manifest: DataFrame, places: DataFrame, place_col: str = "place") -> DataFrame:

@@ -123,3 +123,24 @@ def test_query_against_the_tokenizer(spark, vocab):
         want.append((i, at, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))))
         at += len(ids)
     assert sorted(map(tuple, queries.op11_token_codes(spark, sf).collect())) == want
+
+
+def test_small_files_are_listed_and_read_together(spark, vocab, monkeypatch):
+    df = spark.createDataFrame([(i, "a b c d " * (i % 5)) for i in range(400)], "doc_id long, text string")
+    monkeypatch.setattr(token_codes, "FILE_DOCS", 7)
+    manifest = token_codes.write_token_files(df, vocab, scratch_path(spark, "t"))
+    assert manifest.count() > 57 and len(manifest.inputFiles()) == 1
+    few = token_codes.read_token_files(manifest)
+    assert few.rdd.getNumPartitions() == 1
+    monkeypatch.setattr(token_codes, "SEGMENT", 200)
+    some = token_codes.read_token_files(manifest)
+    n_ids = manifest.agg({"n_ids": "sum"}).first()[0]
+    sizes = manifest.repartition(some.rdd.getNumPartitions()).rdd.glom().map(len).collect()
+    assert some.rdd.getNumPartitions() == -(-n_ids // 200) and max(sizes) - min(sizes) <= 1
+    monkeypatch.setattr(token_codes, "SEGMENT", 1)
+    assert token_codes.read_token_files(manifest).rdd.getNumPartitions() == manifest.count()
+    monkeypatch.undo()
+    want = [(i, len(ids)) for i, ids in enumerate(whole(vocab, ["a b c d " * (i % 5) for i in range(400)]))]
+    got = sorted(few.collect())
+    assert [(r.doc_id, r.n_tokens) for r in got] == want and got == sorted(some.collect())
+    assert [r.start for r in got] == np.cumsum([0, *[n for _, n in want]])[:-1].tolist()
